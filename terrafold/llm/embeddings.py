@@ -229,6 +229,7 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     moved = joined.join(reached, "root").select(F.col("node").alias("cls"), "reached")
     answer = classes.select("cls", "label", "vector", "least", "n").join(counts, "cls", "left").join(moved, "cls", "left")
     answer = answer.select("label", "vector", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("reached", "least").alias("component_id"))
+    answer = materialize(answer, "answer")  # a plain table, so that Spark can split a hot vector's rows in the join
     alone = F.col("vector").isNull()
     out = plain.alias("p").join(answer.alias("c"), ["label", "vector"], "left")
     component = F.when(alone, F.col("id")).otherwise(F.col("component_id"))

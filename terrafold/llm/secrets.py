@@ -99,6 +99,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     owners = owners.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"), F.max("live").alias("live"))
     verdict = F.when(F.col("owners") >= example_owners, "example").when((F.col("owners") == 1) & F.col("live"), "live").otherwise("unclear")
     known = owners.select("hash", verdict.alias("verdict"), "repos", "owners")
+    known = materialize(known, "owners")  # a plain table, so that Spark can split a hot hash's rows in the join
     judged = materialize(each.drop("repo", "owner", "live").join(known, "hash"), "judged")
     judged = judged.where(f"kind <> '{OWNED}' or verdict = 'live'")
     order = F.array_position(F.array(*map(F.lit, (*KINDS, OWNED))), F.col("kind"))
