@@ -157,6 +157,7 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = joined.join(distinct, joined.node == distinct.fp).groupBy("root").agg(F.min("rep").alias("least"))
     moved = joined.join(least, "root").select(F.col("node").alias("fp"), "least")
     by_fp = distinct.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    by_fp = materialize(by_fp, "by_fp")  # a plain table, so that Spark can split a hot fingerprint's rows in the join
     return marked.join(by_fp, "fp", "left").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
