@@ -1 +1,3 @@
 """Query modules; importing this package registers them."""
+
+from terrafold.plans import files, places, relations, scorecard, statistics, streams, texts  # noqa: F401
