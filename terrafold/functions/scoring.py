@@ -20,7 +20,7 @@ def gap(observed: Column | str, reference: Column | str, cap: bool = True) -> Co
     """``1 - min(1, observed / reference)``; null where the reference isn't positive. Without ``cap`` the ratio may exceed 1."""
     o, r = as_col(observed), as_col(reference)
     ratio = o / r
-    return F.when(r > 0, 1 - (F.least(F.lit(1.0), ratio) if cap else ratio))
+    return F.when((r > 0) & o.isNotNull(), 1 - (F.least(F.lit(1.0), ratio) if cap else ratio))  # least() skips nulls
 
 
 def mean_defined(*cols: Column | str) -> Column:

@@ -228,7 +228,7 @@ def aliases(road: Column | str, seg_name: Column | str, seg_refs: Column | str,
     own = F.when(~unnamed(road), own).otherwise(F.array().cast("array<string>"))
     more = F.concat(F.array(F.coalesce(seg_name, F.lit(""))), F.split(F.coalesce(seg_refs, F.lit("")), r"\|"))
     more = F.when(tier.isin("A_name_verified", "B_unnamed_within_15m"), more).otherwise(F.array().cast("array<string>"))
-    named = lambda xs, src: F.transform(F.filter(F.transform(xs, F.trim), lambda x: x != ""), lambda x: F.struct(x.alias("name"), F.lit(src).alias("source")))
+    named = lambda xs, src: F.transform(F.filter(F.transform(xs, lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.struct(x.alias("name"), F.lit(src).alias("source")))
     return F.concat(named(own, "inventory"), named(more, "segment"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as geo
+from terrafold.operators.tables import materialize
 
 
 def cell(v: Column, size: float) -> Column:
@@ -48,13 +49,14 @@ def nearest(a: DataFrame, b: DataFrame, r: float, a_id: str, b_id: str, ties: bo
 def nearest_unbounded(a: DataFrame, b: DataFrame, first: float, a_id: str, b_id: str, rings: int = 24, **xy) -> DataFrame:
     """The nearest point however far: rings of doubling radius, each for the points that have none yet.
 
-    The last ring's radius is ``first * 2 ** rings``; a point with nothing in it is left out.
+    The last ring's radius is ``first * 2 ** rings``; a point with nothing in it is left out. Each ring
+    is written out, so that the plan stays that of one ring.
     """
     out, left, r = None, a, first
     for _ in range(rings):
-        found = nearest(left, b, r, a_id, b_id, **xy).drop("rank")
+        found = materialize(nearest(left, b, r, a_id, b_id, **xy).drop("rank"), "ring")
         out = found if out is None else out.unionByName(found)
-        left = left.join(found.select(a_id), a_id, "left_anti")
+        left = materialize(left.join(found.select(a_id), a_id, "left_anti"), "left")
         if left.isEmpty():
             break
         r *= 2

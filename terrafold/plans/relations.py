@@ -256,12 +256,12 @@ _NULLS = "NULLIF(l_returnflag, 'N') AS flag, CASE WHEN l_quantity > 20 THEN l_qu
 
 
 def _nulls(spark, d):
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.nullif("l_returnflag", F.lit("N")).alias("flag"), F.when(F.col("l_quantity") > 20, F.col("l_quantity")).alias("qty"), F.when(F.col("l_discount") > 0.04, F.col("l_discount")).alias("disc"))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.nullif("l_returnflag", F.lit("N")).alias("flag"), F.when(F.col("l_quantity") > 20, F.col("l_quantity")).alias("qty"), F.when(F.col("l_discount") > 0.04, F.col("l_discount")).alias("disc"))
 
 
-@register("first_non_null_columns", f"SELECT l_orderkey, {', '.join(f'arg_min({c}, l_linenumber) FILTER ({c} IS NOT NULL) AS {c}' for c in ('flag', 'qty', 'disc'))} FROM (SELECT l_orderkey, l_linenumber, {_NULLS} FROM lineitem) GROUP BY 1")
+@register("first_non_null_columns", f"SELECT l_orderkey, {', '.join(f'arg_min({c}, (l_linenumber, l_extendedprice)) FILTER ({c} IS NOT NULL) AS {c}' for c in ('flag', 'qty', 'disc'))} FROM (SELECT l_orderkey, l_linenumber, l_extendedprice, {_NULLS} FROM lineitem) GROUP BY 1")
 def first_non_null_columns(spark, d):
-    return rel.first_non_null(_nulls(spark, d), "l_orderkey", ["l_linenumber"], ["flag", "qty", "disc"])
+    return rel.first_non_null(_nulls(spark, d), "l_orderkey", ["l_linenumber", "l_extendedprice"], ["flag", "qty", "disc"])
 
 
 @register("sorted_distinct_concat", "SELECT l_orderkey, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), '|' ORDER BY CAST(l_suppkey AS VARCHAR)) AS as_text, string_agg(CAST(s AS VARCHAR), '|' ORDER BY s) AS as_number FROM (SELECT DISTINCT l_orderkey, l_suppkey, l_suppkey AS s FROM lineitem) GROUP BY 1")
@@ -368,7 +368,7 @@ def adjacent_pairs(spark, d):
     return sub_edges(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("seg"), F.col("l_linenumber").alias("at"), F.col("l_partkey").alias("node")), "seg")
 
 
-@register("adjacent_pairs_of_arrays", "SELECT * FROM (SELECT l_orderkey AS seg_id, l_partkey AS u, lead(l_partkey) OVER w AS v, l_linenumber AS a0, lead(l_linenumber) OVER w AS a1 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) WHERE v IS NOT NULL")
+@register("adjacent_pairs_of_arrays", "SELECT * FROM (SELECT l_orderkey AS seg_id, l_partkey AS u, lead(l_partkey) OVER w AS v, l_linenumber AS a0, lead(l_linenumber) OVER w AS a1 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)) WHERE v IS NOT NULL")
 def adjacent_pairs_of_arrays(spark, d):
     """The same where a segment's row holds its connectors."""
     from terrafold.operators.graph import sub_edges_of_arrays
@@ -501,7 +501,7 @@ def period_counts(spark, d):
 # --- arrays, maps, JSON --------------------------------------------------------------------------------------------
 
 
-@register("nested_flatten", "SELECT o AS l_orderkey, string_agg(DISTINCT f, '|' ORDER BY f) AS flags, COUNT(*) AS n, arg_min(f, k) AS first_flag FROM (SELECT l_orderkey AS o, l_linenumber AS k, unnest([l_returnflag, l_linestatus]) AS f FROM lineitem) GROUP BY 1")
+@register("nested_flatten", "SELECT o AS l_orderkey, string_agg(DISTINCT f, '|' ORDER BY f) AS flags, COUNT(*) AS n, arg_min(r, (k, r)) AS first_flag FROM (SELECT l_orderkey AS o, l_linenumber AS k, l_returnflag AS r, unnest([l_returnflag, l_linestatus]) AS f FROM lineitem) GROUP BY 1")
 def nested_flatten(spark, d):
     """Distinct sorted values of arrays within arrays, their number, and the first that matches."""
     g = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.array("l_returnflag", "l_linestatus").alias("v")))).alias("x"))
@@ -509,13 +509,13 @@ def nested_flatten(spark, d):
     return g.select("l_orderkey", F.array_join(F.array_sort(F.array_distinct(flat)), "|").alias("flags"), big(F.size(flat), "n"), F.get(flat, F.lit(0)).alias("first_flag"))
 
 
-@register("array_first_match", "SELECT l_orderkey, list_filter(list(l_suppkey ORDER BY l_linenumber), lambda x: x % 2 = 0)[1] AS first_even, COALESCE(len(list(l_suppkey)), 0) AS n FROM lineitem GROUP BY 1")
+@register("array_first_match", "SELECT l_orderkey, list_filter(list(l_suppkey ORDER BY l_linenumber, l_suppkey), lambda x: x % 2 = 0)[1] AS first_even, COALESCE(len(list(l_suppkey)), 0) AS n FROM lineitem GROUP BY 1")
 def array_first_match(spark, d):
     g = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"]).alias("xs"))
     return g.select("l_orderkey", F.get(F.filter("xs", lambda x: x % 2 == 0), F.lit(0)).alias("first_even"), big(F.coalesce(F.size("xs"), F.lit(0)), "n"))
 
 
-@register("range_scoped", "SELECT l_orderkey, string_agg(l_returnflag, '' ORDER BY l_linenumber) FILTER (l_linenumber % 4 = 0 OR ((l_linenumber - 1) / 7.0::DOUBLE - 0.02 <= 0.3 AND l_linenumber / 7.0::DOUBLE + 0.02 >= 0.3)) AS at_03 FROM lineitem GROUP BY 1")
+@register("range_scoped", "SELECT l_orderkey, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_returnflag) FILTER (l_linenumber % 4 = 0 OR ((l_linenumber - 1) / 7.0::DOUBLE - 0.02 <= 0.3 AND l_linenumber / 7.0::DOUBLE + 0.02 >= 0.3)) AS at_03 FROM lineitem GROUP BY 1")
 def range_scoped(spark, d):
     """Values of a segment that hold at a position: those without a range, and those whose range covers it, with room of 0.02."""
     between = F.when(F.col("l_linenumber") % 4 != 0, F.array((F.col("l_linenumber") - 1) / F.lit(7.0), F.col("l_linenumber") / F.lit(7.0)))
@@ -536,7 +536,7 @@ def json_fields(spark, d):
     return t(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), F.to_json(F.struct(F.col("event_id").alias("e"), F.col("event_type").alias("t"))).alias("packed"))
 
 
-@register("string_int_list", "SELECT l_orderkey, list_transform(string_split(string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_linenumber), ' '), lambda x: CAST(x AS BIGINT)) AS ids FROM lineitem GROUP BY 1")
+@register("string_int_list", "SELECT l_orderkey, list_transform(string_split(string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_linenumber, l_partkey), ' '), lambda x: CAST(x AS BIGINT)) AS ids FROM lineitem GROUP BY 1")
 def string_int_list(spark, d):
     g = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string")), " ").alias("s"))
     return g.select("l_orderkey", F.transform(F.split("s", " "), lambda x: x.cast("bigint")).alias("ids"))

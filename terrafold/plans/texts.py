@@ -122,7 +122,7 @@ def death_people_site(spark, d):
     return df.select("phrase", tx.flag("phrase", tx.DEATH).alias("death"), tx.flag("phrase", tx.PEOPLE).alias("people"), tx.flag("phrase", tx.SITE).alias("site"), tx.flag("phrase", tx.INCIDENT).alias("incident"))
 
 
-@register("sentence_split", f"SELECT o_orderkey, {_phrase_sql('o_orderkey')} AS first_sentence, 3::BIGINT AS n FROM orders")
+@register("sentence_split", f"SELECT o_orderkey, {_phrase_sql('o_orderkey')} AS first_sentence, 4::BIGINT AS n FROM orders")
 def sentence_split(spark, d):
     """Abbreviations and decimals end no sentence; a bar does."""
     x = F.concat(_phrase(F.col("o_orderkey")), F.lit(" Near Old Rd. it rained 3.5 in. on St. Mary St.|"), _phrase(F.col("o_custkey")))

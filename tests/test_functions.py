@@ -24,7 +24,7 @@ def one(spark, col, **values):
 
 @pytest.mark.parametrize("o, r, cap, want", [(8, 10, True, 0.2), (15, 10, True, 0.0), (0, 10, True, 1.0), (5, 0, True, None), (30, 10, False, -2.0), (None, 10, True, None), (5, None, True, None)])
 def test_gap(spark, o, r, cap, want):
-    df = spark.createDataFrame([(o and float(o) if o is not None else None, r and float(r) if r is not None else None)], "o double, r double")
+    df = spark.createDataFrame([tuple(None if x is None else float(x) for x in (o, r))], "o double, r double")
     got = df.select(scoring.gap("o", "r", cap).alias("v")).first()["v"]
     assert got == (None if want is None else pytest.approx(want))
 
@@ -122,16 +122,17 @@ def test_lines(spark):
     assert [(p.x, p.y) for p in one(spark, geo.sample(l, 10.0))] == [(0, 0), (10, 0), (10, 10)]
 
 
-HOLED = F.array(line((0, 0), (10, 0), (10, 10), (0, 10), (0, 0)), line((4, 4), (4, 6), (6, 6), (6, 4), (4, 4)))
+def holed():
+    return F.array(line((0, 0), (10, 0), (10, 10), (0, 10), (0, 0)), line((4, 4), (4, 6), (6, 6), (6, 4), (4, 4)))
 
 
 def test_polygons_with_a_hole(spark):
-    assert one(spark, geo.clipped_length(line((-5, 5), (15, 5)), HOLED)) == pytest.approx(8)
-    assert one(spark, geo.clipped_length(line((0, 0), (10, 0)), HOLED)) == pytest.approx(10)
+    assert one(spark, geo.clipped_length(line((-5, 5), (15, 5)), holed())) == pytest.approx(8)
+    assert one(spark, geo.clipped_length(line((0, 0), (10, 0)), holed())) == pytest.approx(10)
     p = lambda x, y: geo.point(F.lit(float(x)), F.lit(float(y)))
-    assert one(spark, geo.within(p(5, 5), HOLED)) is False and one(spark, geo.within(p(1, 1), HOLED)) is True
-    assert one(spark, geo.within(p(0, 5), HOLED)) is False and one(spark, geo.intersects(p(0, 5), HOLED)) is True
-    c = one(spark, geo.centroid(HOLED))
+    assert one(spark, geo.within(p(5, 5), holed())) is False and one(spark, geo.within(p(1, 1), holed())) is True
+    assert one(spark, geo.within(p(0, 5), holed())) is False and one(spark, geo.intersects(p(0, 5), holed())) is True
+    c = one(spark, geo.centroid(holed()))
     assert (c.x, c.y) == (5, 5)
 
 
