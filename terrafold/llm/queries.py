@@ -13,6 +13,7 @@ from terrafold.llm.decontaminate import decontamination_report
 from terrafold.llm.embeddings import embedding_near_dedup
 from terrafold.llm.languages import language_report
 from terrafold.llm.licenses import license_report
+from terrafold.llm.oracles import DECONTAMINATION, EMBEDDINGS, chat_sql, url_sql
 from terrafold.llm.packing import pack
 from terrafold.llm.pii import find_pii
 from terrafold.llm.secrets import secret_report
@@ -27,7 +28,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"))
+    return filter_urls(table(spark, sf_dir, "pages")).withColumn("purity", F.round("purity", 9))
 
 
 CONFLICT = "\\### Assistant: </turn> ok"
@@ -73,4 +74,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have no SQL: mixtures, message passing, XXH64 votes, tokens and MinHash; tests hold them against brute force."""
+    return {"op2_urls": url_sql(), "op3_chat": chat_sql(CONFLICT), "op7_decontaminate": DECONTAMINATION, "op9_embeddings": EMBEDDINGS}
