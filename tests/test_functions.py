@@ -303,3 +303,24 @@ def test_range_join_is_hashed(spark):
     b = a.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     plan = spatial.distance_join(a, b, 2.0)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_independent_reachability():
+    import numpy as np
+    import pandas as pd
+
+    from terrafold.operators import reachability as rc
+
+    cross = rc.node_lines(np.array([[0, 0, 10, 0], [5, -5, 5, 5.0]]))
+    assert sorted(map(tuple, cross)) == [(0, 0, 5, 0), (5, -5, 5, 0), (5, 0, 5, 5), (5, 0, 10, 0)]
+    main = [("line", 0.0, 0.0, 1000.0, 0.0), ("line", 500.0, 0.0, 500.0, -400.0)]
+    homes = [("building", 500.0, -300.0 - k, None, None) for k in range(5)]
+    cut = [("crossing", 500.0, -100.0, None, None)]
+    frame = lambda rows: pd.DataFrame(rows, columns=["kind", "x0", "y0", "x1", "y1"])
+    whole = main[:1] + [("line", 500.0, 0.0, 500.0, -90.0), ("line", 500.0, -90.0, 500.0, -110.0), ("line", 500.0, -110.0, 500.0, -400.0)]
+    assert rc.reachable_share(1, frame(whole + homes + [("crossing", 500.0, -100.0, None, None)])) == (1, "agrees_isolated", 0.0, 1)
+    around = whole + [("line", 500.0, -400.0, 1000.0, 0.0)]
+    assert rc.reachable_share(1, frame(around + homes + cut))[1] == "has_other_way"
+    assert rc.reachable_share(1, frame(whole + cut))[1:3] == ("mixed", None)
+    assert rc.reachable_share(1, frame(homes))[1] == "no_lines"
+    assert rc.reachable_share(1, frame(main + [("crossing", 9e4, 9e4, None, None)]))[1] == "crossing_not_on_lines"
