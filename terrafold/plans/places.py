@@ -251,22 +251,22 @@ def projected_positions(spark, d):
 
 # --- networks --------------------------------------------------------------------------------------------------------
 
-#: A sparse bipartite network of orders and parts: many components of several sizes.
-NET_SQL = "ed AS (SELECT l_orderkey * 16 + l_linenumber AS edge_id, l_orderkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM lineitem WHERE l_orderkey % 6 = 0 AND l_linenumber <= 2)"
+#: The network of orders and parts; an edge is cut where every line of it is a large one, most are.
+NET_SQL = "ed AS MATERIALIZED (SELECT l_orderkey * 4294967296 + l_partkey AS edge_id, l_orderkey * 2 AS src, l_partkey * 2 + 1 AS dst, bool_and(l_quantity > 8) AS gone FROM lineitem GROUP BY 1, 2, 3)"
 
 
 def network(spark, d):
-    l = t(spark, d, "lineitem").where("l_orderkey % 6 = 0 and l_linenumber <= 2")
-    edges = l.select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("edge_id"), (F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
+    key = ((F.col("l_orderkey") * 4294967296 + F.col("l_partkey")).alias("edge_id"), (F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
+    edges = t(spark, d, "lineitem").groupBy(*key).agg(F.bool_and(F.col("l_quantity") > 8).alias("gone"))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     return nodes, edges
 
 
 def comp_sql(name: str, where: str = "TRUE") -> str:
-    """Components by spreading the least label, as far as the longest path of these small networks goes."""
-    return f"""{name}_e AS (SELECT src AS a, dst AS b FROM ed WHERE {where} UNION SELECT dst, src FROM ed WHERE {where}),
- {name}_r(node, other) AS (SELECT src, src FROM ed UNION SELECT dst, dst FROM ed UNION SELECT r.node, e.b FROM {name}_r r JOIN {name}_e e ON e.a = r.other),
- {name} AS (SELECT node, MIN(other) AS comp FROM {name}_r GROUP BY 1)"""
+    """Components by passing on the least label; one row per node is kept."""
+    return f"""{name}_e AS MATERIALIZED (SELECT src AS a, dst AS b FROM ed WHERE {where} UNION SELECT dst, src FROM ed WHERE {where}),
+ {name}(node, comp) USING KEY (node) AS (SELECT * FROM (SELECT src, src FROM ed UNION SELECT dst, dst FROM ed)
+  UNION (SELECT DISTINCT ON (p.node) p.node, n.comp FROM recurring.{name} p JOIN {name}_e e ON e.a = p.node JOIN {name} n ON n.node = e.b WHERE n.comp < p.comp ORDER BY p.node, n.comp))"""
 
 
 @register("components", f"WITH RECURSIVE {NET_SQL}, {comp_sql('c')} SELECT node, comp FROM c")
@@ -274,7 +274,7 @@ def components(spark, d):
     return graph.labelled(*network(spark, d))
 
 
-_CUT = "edge_id % 7 = 0"
+_CUT = "gone"
 STRAND_SQL = f"""{NET_SQL}, {comp_sql('c0')}, {comp_sql('c1', f'NOT ({_CUT})')},
  m0 AS (SELECT comp FROM c0 GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1), b AS (SELECT c0.node, c0.comp = (SELECT comp FROM m0) AS was_main, c1.comp FROM c0 JOIN c1 USING (node)),
  m1 AS (SELECT comp FROM b WHERE was_main GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1), st AS (SELECT node, was_main, comp, was_main AND comp = (SELECT comp FROM m1) AS main_now, was_main AND comp <> (SELECT comp FROM m1) AS stranded FROM b)"""

@@ -139,19 +139,19 @@ def cust(spark, d):
 
 
 def ords(spark, d):
-    o = t(spark, d, "orders").where("o_orderkey % 3 = 0")
+    o = t(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
     return o.groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("n_orders"))
 
 
-_C, _O = "(SELECT c_custkey AS custkey, c_name, c_nationkey FROM customer)", "(SELECT o_custkey AS custkey, COUNT(*) AS n_orders FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)"
+_C, _O = "(SELECT c_custkey AS custkey, c_name, c_nationkey FROM customer)", "(SELECT o_custkey AS custkey, COUNT(*) AS n_orders FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)"
 
 for _how in ("inner", "left", "right"):
     register(f"join_{_how}", f"SELECT custkey, c_name, n_orders FROM {_C} c {_how.upper()} JOIN {_O} o USING (custkey)")(lambda spark, d, how=_how: cust(spark, d).join(ords(spark, d), "custkey", how).select("custkey", "c_name", "n_orders"))
 
 
-@register("join_full_indicator", f"SELECT custkey, c_name, n_orders, CASE WHEN c.l IS NULL THEN 'right_only' WHEN o.r IS NULL THEN 'left_only' ELSE 'both' END AS origin FROM (SELECT *, 1 AS l FROM {_C} WHERE custkey % 2 = 0) c FULL JOIN (SELECT *, 1 AS r FROM {_O}) o USING (custkey)")
+@register("join_full_indicator", f"SELECT custkey, c_name, n_orders, CASE WHEN c.l IS NULL THEN 'right_only' WHEN o.r IS NULL THEN 'left_only' ELSE 'both' END AS origin FROM (SELECT *, 1 AS l FROM {_C} WHERE c_nationkey > 4) c FULL JOIN (SELECT *, 1 AS r FROM {_O}) o USING (custkey)")
 def join_full_indicator(spark, d):
-    return rel.full_with_origin(cust(spark, d).where("custkey % 2 = 0"), ords(spark, d), "custkey").select("custkey", "c_name", "n_orders", "origin")
+    return rel.full_with_origin(cust(spark, d).where("c_nationkey > 4"), ords(spark, d), "custkey").select("custkey", "c_name", "n_orders", "origin")
 
 
 @register("semi_join", f"SELECT custkey FROM {_C} WHERE custkey IN (SELECT custkey FROM {_O} WHERE n_orders > 2)")
@@ -438,10 +438,10 @@ def top8(spark, d):
     return t(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c_nationkey").limit(8)
 
 
-@register("sort_by_class", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey LIMIT 50")
+@register("sort_by_class", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey")
 def sort_by_class(spark, d):
     order = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    return t(spark, d, "orders").select("o_orderkey", "o_orderstatus").orderBy(order, "o_orderkey").limit(50)
+    return t(spark, d, "orders").select("o_orderkey", "o_orderstatus").orderBy(order, "o_orderkey")
 
 
 @register("set_union_distinct", "SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer")
@@ -449,9 +449,9 @@ def set_union_distinct(spark, d):
     return t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).union(t(spark, d, "customer").select("c_nationkey")).distinct()
 
 
-@register("set_difference", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0")
+@register("set_difference", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def set_difference(spark, d):
-    return t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(t(spark, d, "orders").where("o_orderkey % 7 = 0").select("o_custkey"))
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(t(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey"))
 
 
 @register("set_intersection", "SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
@@ -468,11 +468,11 @@ def array_sets(spark, d):
     return a.join(b, "l_orderkey").select("l_orderkey", big(F.size(F.array_intersect("pa", "pb")), "shared"), (F.size(F.array_except("pa", "pb")) == 0).alias("subset"))
 
 
-@register("combine_first", "SELECT k, COALESCE(a.v, b.v) AS v, COALESCE(a.w, b.w) AS w FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS v, c_mktsegment AS w FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT c_custkey AS k, -1.0::DOUBLE AS v, 'fill' AS w FROM customer WHERE c_custkey % 5 <> 0) b USING (k)")
+@register("combine_first", "SELECT k, COALESCE(a.v, b.v) AS v, COALESCE(a.w, b.w) AS w FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS v, c_mktsegment AS w FROM customer WHERE c_mktsegment <> 'BUILDING') a FULL JOIN (SELECT c_custkey AS k, -1.0::DOUBLE AS v, 'fill' AS w FROM customer WHERE c_acctbal > 1000) b USING (k)")
 def combine_first(spark, d):
     c = t(spark, d, "customer").withColumnRenamed("c_custkey", "k")
-    a = c.where("k % 3 <> 0").select("k", F.when(F.col("k") % 2 == 0, F.col("c_acctbal")).alias("v"), F.col("c_mktsegment").alias("w"))
-    return rel.combine_first(a, c.where("k % 5 <> 0").select("k", F.lit(-1.0).alias("v"), F.lit("fill").alias("w")), "k")
+    a = c.where("c_mktsegment <> 'BUILDING'").select("k", F.when(F.col("k") % 2 == 0, F.col("c_acctbal")).alias("v"), F.col("c_mktsegment").alias("w"))
+    return rel.combine_first(a, c.where("c_acctbal > 1000").select("k", F.lit(-1.0).alias("v"), F.lit("fill").alias("w")), "k")
 
 
 # --- dates ---------------------------------------------------------------------------------------------------------
@@ -524,10 +524,10 @@ def range_scoped(spark, d):
     return g.select("l_orderkey", F.when(F.size(holds) > 0, F.array_join(F.transform(holds, lambda f: f["l_returnflag"]), "")).alias("at_03"))
 
 
-@register("array_contains_run", "SELECT doc_id, text LIKE '% of the %' AS has FROM (SELECT doc_id, ' ' || regexp_replace(lower(left(text, 400)), '[ \\n\\t]+', ' ', 'g') || ' ' AS text FROM documents)")
+@register("array_contains_run", "SELECT doc_id, text LIKE '% of the %' AS has FROM (SELECT doc_id, ' ' || regexp_replace(lower(text), '[ \\n\\t]+', ' ', 'g') || ' ' AS text FROM documents)")
 def array_contains_run(spark, d):
-    """A contiguous run of words within an array, over the head of each text as its feature."""
-    words = F.split(F.regexp_replace(F.lower(F.substring("text", 1, 400)), r"[ \n\t]+", " "), " ")
+    """A contiguous run of words within an array."""
+    words = F.split(F.regexp_replace(F.lower("text"), r"[ \n\t]+", " "), " ")
     return t(spark, d, "documents").select("doc_id", contains_run(words, F.array(F.lit("of"), F.lit("the"))).alias("has"))
 
 
@@ -556,10 +556,10 @@ def number_norm_query(spark, d):
 # --- quality -------------------------------------------------------------------------------------------------------
 
 
-@register("table_difference", "SELECT k, 'left' AS only FROM (SELECT o_custkey % 40 AS k FROM orders WHERE o_orderkey % 2 = 0 EXCEPT ALL SELECT o_custkey % 40 FROM orders WHERE o_orderkey % 2 = 1) UNION ALL SELECT k, 'right' FROM (SELECT o_custkey % 40 AS k FROM orders WHERE o_orderkey % 2 = 1 EXCEPT ALL SELECT o_custkey % 40 FROM orders WHERE o_orderkey % 2 = 0)")
+@register("table_difference", "SELECT k, 'left' AS only FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT ALL SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') UNION ALL SELECT k, 'right' FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O' EXCEPT ALL SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def table_difference(spark, d):
-    o = t(spark, d, "orders").select((F.col("o_custkey") % 40).alias("k"), "o_orderkey")
-    return rel.difference(o.where("o_orderkey % 2 = 0").select("k"), o.where("o_orderkey % 2 = 1").select("k"))
+    o = t(spark, d, "orders").withColumnRenamed("o_custkey", "k")
+    return rel.difference(o.where("o_orderstatus = 'F'").select("k"), o.where("o_orderstatus = 'O'").select("k"))
 
 
 @register("cell_differences", "SELECT s_suppkey, 'bal' AS \"column\", CAST(CAST(s_acctbal AS BIGINT) AS VARCHAR) AS \"left\", CAST(CAST(s_acctbal AS BIGINT) + 1 AS VARCHAR) AS \"right\" FROM supplier WHERE s_suppkey % 10 = 0")

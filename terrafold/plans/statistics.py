@@ -35,7 +35,7 @@ def kappa(spark, d):
     return s.select(F.round("agree", 6).alias("agree"), F.round(chance, 6).alias("chance"), F.round(sc.kappa(F.col("agree"), chance), 6).alias("kappa"))
 
 
-_SAMPLE = "smp AS (SELECT s_nationkey % 4 AS st, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_acctbal > 4000 END AS ok FROM supplier WHERE s_suppkey % 2 = 0 AND s_nationkey % 4 <> 3)"
+_SAMPLE = "smp AS (SELECT s_nationkey % 4 AS st, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_acctbal > 4000 END AS ok FROM supplier WHERE s_acctbal > 1000 AND s_nationkey % 4 <> 3)"
 
 
 @register(
@@ -44,7 +44,7 @@ _SAMPLE = "smp AS (SELECT s_nationkey % 4 AS st, CASE WHEN s_suppkey % 5 = 0 THE
  SELECT round(SUM(COALESCE(k::DOUBLE / NULLIF(settled, 0), pooled) * w) / SUM(w), 6) AS estimate, round(SUM(COALESCE(k::DOUBLE / NULLIF(n, 0), 0) * w) / SUM(w), 6) AS low, round(SUM(COALESCE((k + n - settled)::DOUBLE / NULLIF(n, 0), 1) * w) / SUM(w), 6) AS high FROM tot LEFT JOIN e USING (st), p""",
 )
 def post_strat(spark, d):
-    s = t(spark, d, "supplier").where("s_suppkey % 2 = 0 and s_nationkey % 4 <> 3")
+    s = t(spark, d, "supplier").where("s_acctbal > 1000 and s_nationkey % 4 <> 3")
     s = s.select((F.col("s_nationkey") % 4).alias("st"), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_acctbal") > 4000).alias("ok"))
     tot = t(spark, d, "customer").groupBy((F.col("c_nationkey") % 4).alias("st")).agg(F.count("*").alias("w"))
     out = resample.post_stratified(s, tot, "st", F.col("ok"), "w")

@@ -187,10 +187,10 @@ def explode_flags(spark, d):
 
 def reports(spark, d):
     """Orders as events, with a text that names a county road; suppliers as crossings on such roads."""
-    o = t(spark, d, "orders").where("o_orderkey % 5 = 0")
+    o = t(spark, d, "orders")
     road = F.concat(F.lit("CR "), (F.col("o_custkey") % 40).cast("string"))
     text = F.concat(F.lit("A car was swept off "), road, F.lit(" at the crossing. "), _phrase(F.col("o_orderkey")))
-    xy = lambda m: (F.col("o_orderkey") % m * 97.0)
+    xy = lambda m: (F.col("o_orderkey") % m * 970.0)
     return o.select(F.col("o_orderkey").alias("event_id"), (F.col("o_custkey") % 5).cast("string").alias("county"), text.alias("event_text"), F.lit("").alias("episode_text"), xy(101).alias("begin_x"), xy(103).alias("begin_y"), xy(101).alias("end_x"), (xy(103) + 50).alias("end_y"), (F.col("o_orderkey") % 4 != 0).alias("coords_ok"), F.lit(0).alias("vehicle_deaths"))
 
 
@@ -198,7 +198,7 @@ def crossings(spark, d):
     s = t(spark, d, "supplier")
     road = F.concat(F.lit("County Road "), (F.col("s_suppkey") % 40).cast("string"))
     none = F.lit(None).cast("string")
-    return s.select(F.col("s_suppkey").cast("string").alias("crossing_id"), (F.col("s_suppkey") % 5).cast("string").alias("county"), road.alias("road"), none.alias("seg_name"), none.alias("seg_refs"), F.lit("C").alias("tier"), none.alias("stream"), (F.col("s_suppkey") % 101 * 97.0).alias("x"), (F.col("s_suppkey") % 103 * 97.0).alias("y"))
+    return s.select(F.col("s_suppkey").cast("string").alias("crossing_id"), (F.col("s_suppkey") % 5).cast("string").alias("county"), road.alias("road"), none.alias("seg_name"), none.alias("seg_refs"), F.lit("C").alias("tier"), none.alias("stream"), (F.col("s_suppkey") % 101 * 970.0).alias("x"), (F.col("s_suppkey") % 103 * 970.0).alias("y"))
 
 
 @register("report_matches")
@@ -206,18 +206,18 @@ def report_matches(spark, d):
     return matcher.match(reports(spark, d), crossings(spark, d))
 
 
-@register("report_hits", "SELECT o_orderkey AS event_id, CAST(s_suppkey AS VARCHAR) AS crossing_id FROM orders JOIN supplier ON o_custkey % 5 = s_suppkey % 5 AND o_custkey % 40 = s_suppkey % 40 WHERE o_orderkey % 5 = 0 UNION SELECT o_orderkey, CAST(s_suppkey AS VARCHAR) FROM orders JOIN supplier ON o_custkey % 5 = s_suppkey % 5 AND ((o_orderkey % 8 = 1 AND s_suppkey % 40 = 12) OR FALSE) WHERE o_orderkey % 5 = 0")
+@register("report_hits", "SELECT o_orderkey AS event_id, CAST(s_suppkey AS VARCHAR) AS crossing_id FROM orders JOIN supplier ON o_custkey % 5 = s_suppkey % 5 AND o_custkey % 40 = s_suppkey % 40 UNION SELECT o_orderkey, CAST(s_suppkey AS VARCHAR) FROM orders JOIN supplier ON o_custkey % 5 = s_suppkey % 5 AND o_orderkey % 8 = 1 AND s_suppkey % 40 = 12")
 def report_hits(spark, d):
     """Text to crossing by equi-join on (county, road key)."""
     sent = matcher.sentence_table(reports(spark, d))
     return matcher.road_hits(sent, matcher.alias_index(crossings(spark, d))).select("event_id", "crossing_id").distinct()
 
 
-@register("report_counties", "SELECT n_nationkey AS county, COUNT(o_orderkey) AS events, COUNT(o_orderkey) FILTER (o_orderpriority = '1-URGENT') AS deaths, round(COUNT(o_orderkey) FILTER (o_orderpriority = '1-URGENT')::DOUBLE / NULLIF(COUNT(o_orderkey), 0), 6) AS share FROM nation LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 50 = 0) ON o_custkey % 25 = n_nationkey GROUP BY 1")
+@register("report_counties", "SELECT n_nationkey AS county, COUNT(o_orderkey) AS events, COUNT(o_orderkey) FILTER (o_orderpriority = '1-URGENT') AS deaths, round(COUNT(o_orderkey) FILTER (o_orderpriority = '1-URGENT')::DOUBLE / NULLIF(COUNT(o_orderkey), 0), 6) AS share FROM nation LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON o_custkey % 25 = n_nationkey GROUP BY 1")
 def report_counties(spark, d):
     """Every county of the list, those without events too."""
     urgent = F.count_if(F.col("o_orderpriority") == "1-URGENT")
-    e = t(spark, d, "orders").where("o_orderkey % 50 = 0").groupBy((F.col("o_custkey") % 25).alias("county")).agg(F.count("*").alias("events"), urgent.alias("deaths"))
+    e = t(spark, d, "orders").where("o_orderstatus = 'P'").groupBy((F.col("o_custkey") % 25).alias("county")).agg(F.count("*").alias("events"), urgent.alias("deaths"))
     n = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("county")).join(e, "county", "left").fillna(0)
     return n.select("county", "events", "deaths", F.round(F.try_divide("deaths", "events"), 6).alias("share"))
 
