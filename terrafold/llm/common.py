@@ -1,57 +1,17 @@
-"""What the operators share: tables written between steps, Arrow batches of texts, components."""
+"""What the operators share: Arrow batches of texts, groups within a batch, and the library's tables and components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder for tables between steps: ``spark.checkpoint.dir``, which every executor sees.
-
-    Where the setting is absent a temporary folder serves, in local mode only (tests); a cluster
-    without the setting is refused, since its executors don't share a machine's folders.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="terrafold-")
-    return _own_dirs[app]
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet under the scratch root and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what :func:`materialize` wrote, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._scratch)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from terrafold.operators.graph import components
+from terrafold.operators.tables import discard, materialize, table
 
+__all__ = ["chunks", "components", "discard", "materialize", "table", "text_bytes", "texts", "union_roots"]
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into pieces with about ``most_bytes`` of text each, one row at least."""
@@ -85,38 +45,3 @@ def union_roots(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         np.minimum.at(roots, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
         while not np.array_equal(up := roots[roots], roots):
             roots = up
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(src, dst)``, longs: ``(node, root)`` for every node of an edge.
-
-    Each round points every node at the neighbour (or itself) that is first in a hashed order, follows
-    the pointers once more, relabels the edges by them and keeps what still joins two different labels.
-    Hashed order makes the number of rounds grow as the logarithm of the longest path whatever order
-    the ids have. Every round is written to the scratch root, so a lost executor costs one round; no
-    link or label reaches the driver. ``root`` is some node of the component, the same for all of it.
-    """
-    first = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
-    edge = lambda a, b: (F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
-    left = materialize(edges.where("src <> dst").select(*edge("src", "dst")).distinct(), "edges")
-    rounds: list[DataFrame] = []
-    while not left.isEmpty():
-        both = left.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(left.select("hi", "lo"))
-        up = both.groupBy("u").agg(F.min(first("v")).alias("v")).select("u", F.least(first("u"), "v")["id"].alias("p"))
-        up = materialize(up, "up")
-        over = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
-        jump = materialize(up.join(over, "p").select("u", F.col("q").alias("p")), "jump")
-        lo, hi = (jump.select(F.col("u").alias(c), F.col("p").alias(f"p_{c}")) for c in ("lo", "hi"))
-        new = left.join(lo, "lo").join(hi, "hi").where("p_lo <> p_hi").select(*edge("p_lo", "p_hi")).distinct()
-        new = materialize(new, "edges")
-        discard(up)
-        discard(left)
-        left = new
-        rounds.append(jump)
-    if not rounds:
-        return left.select(F.col("lo").alias("node"), F.col("hi").alias("root"))
-    out = rounds[-1].select(F.col("u").alias("node"), F.col("p").alias("root"))
-    for jump in reversed(rounds[:-1]):
-        later = out.select(F.col("node").alias("p"), "root")
-        out = jump.join(later, "p", "left").select(F.col("u").alias("node"), F.coalesce("root", "p").alias("root"))
-    return out

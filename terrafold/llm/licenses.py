@@ -116,7 +116,8 @@ def word_array(text: Column) -> Column:
 
 def catalogue(spark: SparkSession, templates: dict[str, str] = TEMPLATES, bands: int = BANDS) -> Column:
     """The templates by the length of their windows, as one constant: as many as the caller's dictionary holds."""
-    rows = spark.createDataFrame(list(templates.items()), "name string, text string")
+    given = F.array(*(F.struct(F.lit(k).alias("name"), F.lit(t).alias("text")) for k, t in templates.items()))
+    rows = spark.range(1).select(F.inline(given))
     rows = rows.select("name", word_array(F.col("text")).alias("w")).select("name", F.size("w").alias("n"), shingle_array(F.col("w")).alias("s"))
     known = rows.select("name", "n", "s", signature(F.transform("s", lambda s: F.xxhash64(s)), bands).alias("g")).collect()
     template = lambda r: F.struct(F.lit(r.name).alias("name"), F.array(*map(F.lit, r.s)).alias("s"), F.array(*map(F.lit, r.g)).alias("g"))
