@@ -24,11 +24,13 @@ def gap(observed: Column | str, reference: Column | str, cap: bool = True) -> Co
 
 
 def mean_defined(*cols: Column | str) -> Column:
-    """Mean of the values that are defined; undefined ones leave the divisor. Null if none is."""
-    cols_ = [as_col(c) for c in cols]
-    total = reduce(lambda a, b: a + b, (F.coalesce(c, F.lit(0.0)) for c in cols_))
-    n = reduce(lambda a, b: a + b, (F.when(c.isNull(), 0).otherwise(1) for c in cols_))
-    return F.when(n > 0, total / n)
+    """Mean of the values that are defined; undefined ones leave the divisor. Null if none is.
+
+    One fold that names each value once: nested means of gaps stay small expressions.
+    """
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    add = lambda acc, x: F.struct((acc["s"] + F.coalesce(x, F.lit(0.0))).alias("s"), (acc["n"] + F.when(x.isNull(), 0).otherwise(1)).alias("n"))
+    return F.aggregate(F.array(*map(as_col, cols)), start, add, lambda acc: F.when(acc["n"] > 0, acc["s"] / acc["n"]))
 
 
 def round_even(c: Column | str, places: int = 6) -> Column:
@@ -55,13 +57,14 @@ def build(
     cap: bool = True,
     decimals: int | None = 6,
     round_components: bool = False,
+    gap_of=gap,
 ) -> Column:
-    """The composite under one set of conventions; an undefined composite becomes 0."""
-    t, b = gap(*road, cap), gap(*bldg, cap)
-    per = {k: gap(f"ovt_{k}{fac_sfx}", f"ref_{k}", cap) for k in CATS}
+    """The composite under one set of conventions; an undefined composite becomes 0. ``gap_of`` gives the gap of two counts."""
+    t, b = gap_of(*road, cap), gap_of(*bldg, cap)
+    per = {k: gap_of(f"ovt_{k}{fac_sfx}", f"ref_{k}", cap) for k in CATS}
     if undefined_fac == "zero":
         per = {k: F.coalesce(v, F.lit(0.0)) for k, v in per.items()}
-    places_gap = gap(places, cbp, cap)
+    places_gap = gap_of(places, cbp, cap)
     p = {
         "halves": lambda: mean_defined(mean_defined(*per.values()), places_gap),
         "flat4": lambda: mean_defined(*per.values(), places_gap),
@@ -75,6 +78,21 @@ def build(
     return whole if decimals is None else round_even(whole, decimals)
 
 
+class GapColumns:
+    """Gaps as columns of their own, each once however many composites use it; counts are given as SQL expressions."""
+
+    def __init__(self) -> None:
+        self.columns: dict[str, Column] = {}
+        self._names: dict[tuple[str, str, bool], str] = {}
+
+    def __call__(self, observed: str, reference: str, cap: bool = True) -> Column:
+        key = (observed, reference, cap)
+        if key not in self._names:
+            self._names[key] = name = f"gap_{len(self._names)}"
+            self.columns[name] = gap(F.expr(observed), F.expr(reference), cap)
+        return F.col(self._names[key])
+
+
 def weighted_mean(value: Column | str, weight: Column | str) -> Column:
     """Aggregate: over rows where the value is defined."""
     v, w = as_col(value), as_col(weight)

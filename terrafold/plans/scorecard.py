@@ -133,11 +133,6 @@ VARIANTS: list[tuple[str, str, dict]] = [
 ]
 
 
-def variant_column(spec: dict):
-    as_exprs = {k: tuple(F.expr(x) for x in v) if k in ("road", "bldg") else v for k, v in spec.items()}
-    return sc.build(**as_exprs)
-
-
 SCORE_SQL = f"""SELECT area, region, {sql_round(sql_gap('ovt_road', 'tig_road'))} AS transport_gap, {sql_round(sql_gap('ovt_bldg', 'ms_bldg'))} AS building_gap,
  {sql_round(sql_mean(sql_mean(*(sql_gap(f'ovt_{k}', f'ref_{k}') for k in sc.CATS)), sql_gap('ovt_places', 'cbp_estab')))} AS poi_gap, {sql_build()} AS coverage_gap_score FROM counts"""
 
@@ -182,8 +177,10 @@ def gap_poi_modes(spark, d):
 
 def sweep(df: DataFrame, variants=VARIANTS, moved: float = 1e-12) -> DataFrame:
     """Every variant against the scored conventions, in one pass: ``(grp, variant, moved, mean_change, max_change)``."""
-    cols = [F.struct(F.lit(g).alias("grp"), F.lit(n).alias("variant"), F.abs(variant_column(s) - F.col("base")).alias("change")) for g, n, s in variants]
-    each = df.withColumn("base", sc.build()).select(F.explode(F.array(*cols)).alias("v")).select("v.*")
+    gaps = sc.GapColumns()
+    base = sc.build(gap_of=gaps)
+    cols = [F.struct(F.lit(g).alias("grp"), F.lit(n).alias("variant"), F.abs(sc.build(**s, gap_of=gaps) - F.col("base")).alias("change")) for g, n, s in variants]
+    each = df.withColumns(gaps.columns).withColumn("base", base).select(F.explode(F.array(*cols)).alias("v")).select("v.*")
     return each.groupBy("grp", "variant").agg(F.count_if(F.col("change") > moved).alias("moved"), F.avg("change").alias("mean_change"), F.max("change").alias("max_change"))
 
 
@@ -256,7 +253,9 @@ GEO_VARIANTS = {
 
 @register("sweep_geometry_variants", f"WITH {COUNTS_SQL} SELECT area, {', '.join(f'{sql_build(**s)} AS {n}' for n, s in GEO_VARIANTS.items())} FROM counts")
 def sweep_geometry_variants(spark, d):
-    return counts(spark, d).select("area", *(variant_column(s).alias(n) for n, s in GEO_VARIANTS.items()))
+    gaps = sc.GapColumns()
+    cols = [sc.build(**s, gap_of=gaps).alias(n) for n, s in GEO_VARIANTS.items()]
+    return counts(spark, d).withColumns(gaps.columns).select("area", *cols)
 
 
 @register("fixed_width_report", f"WITH {COUNTS_SQL}, s AS (SELECT CAST(area AS VARCHAR) AS a, printf('%.6f', {sql_build()}) AS v FROM counts), w AS (SELECT MAX(length(a)) AS wa, MAX(length(v)) AS wv FROM s) SELECT rpad(a, wa::INTEGER, ' ') || '  ' || lpad(v, wv::INTEGER, ' ') AS line FROM s, w")
