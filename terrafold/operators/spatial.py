@@ -38,9 +38,9 @@ def distance_join(a: DataFrame, b: DataFrame, r: float, ax: str = "x", ay: str =
     return cells_a.join(cells_b, "_c").drop("_c").withColumn("dist", dist).where(F.col("dist") <= r)
 
 
-def nearest(a: DataFrame, b: DataFrame, r: float, a_id: str, b_id: str, ties: bool = False, k: int = 1, **xy) -> DataFrame:
-    """The nearest (``k`` nearest) points of ``b`` within ``r``: by distance, then id; with ``ties`` all at the least distance."""
-    near = distance_join(a, b, r, **xy)
+def nearest(a: DataFrame, b: DataFrame, r: float, a_id: str, b_id: str, ties: bool = False, k: int = 1, where: str = "true", **xy) -> DataFrame:
+    """The nearest (``k`` nearest) points of ``b`` within ``r`` among the pairs ``where`` holds: by distance, then id; with ``ties`` all at the least distance."""
+    near = distance_join(a, b, r, **xy).where(where)
     w = Window.partitionBy(a_id)
     rank = F.rank().over(w.orderBy("dist")) if ties else F.row_number().over(w.orderBy("dist", b_id))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -87,13 +87,14 @@ def lines_near_points(points: DataFrame, lines: DataFrame, r: float, point_id: s
     return near.groupBy(point_id, line_id).agg(F.min("dist").alias("dist"))
 
 
-def lines_near_lines(one: DataFrame, two: DataFrame, r: float, one_id: str, two_id: str, line: str = "line") -> DataFrame:
-    """Pairs of lines within ``r``, with ``dist``."""
+def lines_near_lines(one: DataFrame, two: DataFrame, r: float, one_id: str, two_id: str, line: str = "line", size: float | None = None) -> DataFrame:
+    """Pairs of lines within ``r``, with ``dist``; ``size`` is that of the cells, ``r`` if not given: for pieces much longer than ``r`` a larger one."""
+    size = size or r
 
     def parts(df: DataFrame, key: str, name: str, reach: float) -> DataFrame:
         p = df.select(key, F.explode(geo.pieces(F.col(line))).alias(name))
         a, b = F.col(f"{name}.a"), F.col(f"{name}.b")
-        box = box_cells(F.least(a["x"], b["x"]) - reach, F.greatest(a["x"], b["x"]) + reach, F.least(a["y"], b["y"]) - reach, F.greatest(a["y"], b["y"]) + reach, r)
+        box = box_cells(F.least(a["x"], b["x"]) - reach, F.greatest(a["x"], b["x"]) + reach, F.least(a["y"], b["y"]) - reach, F.greatest(a["y"], b["y"]) + reach, size)
         return p.withColumn("_c", F.explode(box))
 
     both = parts(one, one_id, "_p", r).join(parts(two, two_id, "_q", 0.0), "_c")

@@ -117,6 +117,14 @@ def nearest_unbounded(spark, d):
     return spatial.nearest_unbounded(p.where("label = 1"), twin(p.where("label = 3")), 20.0, "id", "id2").select("id", "id2")
 
 
+@register("nearest_unbounded_all", f"WITH {POINTS_SQL} SELECT a.id, arg_min(b.id, (sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.id)) AS id2 FROM pts a JOIN pts b ON a.label <> b.label GROUP BY 1")
+def nearest_unbounded_all(spark, d):
+    """The nearest point of any other label, for every point."""
+    p = points(spark, d)
+    other = twin(p, F.col("label").alias("label2"))
+    return spatial.nearest_unbounded(p, other, 20.0, "id", "id2", where="label <> label2").select("id", "id2")
+
+
 @register("nearest_tie", "WITH p AS (SELECT vec_id AS id, label, CAST(round(1000 * embedding[1] / 50) AS BIGINT) * 50.0::DOUBLE AS x, CAST(round(1000 * embedding[2] / 50) AS BIGINT) * 50.0::DOUBLE AS y FROM embeddings), m AS (SELECT a.id, b.id AS id2, b.label, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist FROM p a JOIN p b ON a.id <> b.id) SELECT id, COUNT(*) AS n_ties, COUNT(DISTINCT label) AS n_labels, MIN(id2) AS lowest, round(MIN(dist), 6) AS dist FROM m WHERE dist <= 100 QUALIFY 1 = 1 GROUP BY id, dist HAVING dist = (SELECT MIN(dist) FROM m z WHERE z.id = m.id)".replace(" QUALIFY 1 = 1", ""))
 def nearest_tie(spark, d):
     """All nearest at the least distance, the labels among them, and the lowest id."""
@@ -185,6 +193,16 @@ def line_line_distance(spark, d):
     return spatial.lines_near_lines(one, two, 10.0, "one", "two").select("one", "two", F.round("dist", 6).alias("dist"))
 
 
+@register("line_line_distance_all", f"WITH {POINTS_SQL}, {LINE_SQL} SELECT * FROM (SELECT a.sid AS one, b.sid AS two, round({_LL}, 6) AS dist FROM segs a, segs b WHERE a.line_id < b.line_id) WHERE dist <= 10")
+def line_line_distance_all(spark, d):
+    """Pieces of any two labels."""
+    s = short_lines(spark, d)
+    near = spatial.lines_near_lines(s.withColumnRenamed("line_id", "one"), s.withColumnRenamed("line_id", "two"), 10.0, "one", "two", size=200.0)
+    labels = lambda k: s.select(F.col("line_id").alias(k), F.col("label").alias(f"label_{k}"))
+    near = near.join(labels("one"), "one").join(labels("two"), "two").where("label_one < label_two")
+    return near.select("one", "two", F.round("dist", 6).alias("dist"))
+
+
 _RECT = (-200.0, 0.0, -200.0, 100.0)
 
 
