@@ -33,9 +33,9 @@ def split_words(text: bytes) -> list[bytes]:
 class WindowSet:
     """Windows of the test items by the hash of their word numbers."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        found: dict[tuple[int, ...], set[str | None]] = defaultdict(set)
         for name, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in split_words(text)]
             size = min(window, len(ids))
@@ -48,7 +48,7 @@ class WindowSet:
             hashes = self.rolled(np.array(own, dtype=np.int64).reshape(-1), size)[::size]
             self.sizes[size] = np.unique(hashes)
             for w, h in zip(own, hashes.tolist()):
-                self.windows[size, h][w] = tuple(sorted(found[w]))
+                self.windows[size, h][w] = tuple(sorted(found[w] - {None}))
 
     @staticmethod
     def rolled(ids: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
@@ -72,7 +72,7 @@ class WindowSet:
             place = np.minimum(np.searchsorted(known, h), len(known) - 1)
             for p, k in zip(at[known[place] == h].tolist(), h[known[place] == h].tolist()):
                 names = self.windows[size, k].get(tuple(ids[p : p + size].tolist()))
-                if names:
+                if names is not None:
                     out.append((p, size, names))
         return out
 
@@ -153,23 +153,23 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     documents are scanned once per set, and only the hits are brought together. Memory per task is
     that of one set either way. Cases: null and empty texts have no words and no hits; an item with
     fewer words than ``window`` is one window, with none it occurs nowhere; repeated documents are
-    judged one by one, repeated items count once; null item ids can't be named and are left out;
+    judged one by one, repeated items count once; an item with a null id counts as hit but can't be named in ``items``;
     columns beyond those named are ignored.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null")
     total = items.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
     # a word has a character at least and another after it
     sets = max(1, -(-(total[0] or 0) // (2 * set_words)))
-    own = [items.where(F.pmod(F.xxhash64("item"), F.lit(sets)) == k) for k in range(sets)]
+    own = [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(sets)) == k) for k in range(sets)]
     known = lambda part: WindowSet([(r.item, r.text.encode()) for r in part.collect()], window)
     if sets == 1:
         return _marked(plain, known(own[0]))
     plain = materialize(plain.withColumn("row", F.monotonically_increasing_id()), "documents")
     parts = [_marked(plain.select("row", "text"), known(part)).drop("text") for part in own]
-    hit = parts[0].where("size(items) > 0")
+    hit = parts[0].where("size(hits) > 0")
     for part in parts[1:]:
-        hit = hit.unionByName(part.where("size(items) > 0"))
+        hit = hit.unionByName(part.where("size(hits) > 0"))
     hit = hit.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     join = "aggregate(hits, cast(array() as array<struct<a:long,b:long>>), (m, x) -> if(size(m) > 0 and x.a <= element_at(m, -1).b, concat(slice(m, 1, size(m) - 1), array(named_struct('a', element_at(m, -1).a, 'b', greatest(element_at(m, -1).b, x.b)))), concat(m, array(x))))"
     hit = hit.withColumn("hits", F.expr(join))
@@ -183,7 +183,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
     of every document with one, ``remove="documents"``. Cases as in :func:`scan_benchmark`."""
     marked = scan_benchmark(docs, benchmark, id_col, text_col, **kw)
     if remove == "documents":
-        marked = marked.where("size(items) = 0")
+        marked = marked.where("size(hits) = 0")
     elif remove == "spans":
         types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema)
         marked = marked.mapInArrow(_cut, types)
@@ -205,5 +205,5 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, **kw) -> DataF
         n_hit().alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.size("items") > 0).alias("contaminated"),
+        (F.size("hits") > 0).alias("contaminated"),
     )
