@@ -109,16 +109,18 @@ def mixtures(units: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return share
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, grams: int = FIT_GRAMS) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, grams: int = FIT_GRAMS, id_col: str = "doc_id") -> Model:
     """N-gram model of the labelled texts; rows without text or language are left out.
 
-    About ``rows`` rows, chosen by a hash of the text, are counted on the executors; the driver gets the ``grams`` most frequent n-grams.
+    About ``rows`` rows, chosen by a hash of the id and the text, are counted on the executors; the driver gets the ``grams`` most frequent n-grams.
+    Exact copies under ids of their own are drawn one by one; a table without ``id_col`` is drawn by the text alone, copies together.
     """
-    known = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    own = F.col(id_col) if id_col in labelled.columns else F.lit(None).cast("long")
+    known = labelled.select(own.alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     n = known.count()
     if n > rows:
-        known = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int((1 << 20) * rows / n)))
-    counted = known.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        known = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < F.lit(int((1 << 20) * rows / n)))
+    counted = known.select("text", "lang").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_gram = counted.groupBy("gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
