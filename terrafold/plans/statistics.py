@@ -80,19 +80,19 @@ def _users(spark, d):
 @register("bootstrap_ci")
 def bootstrap_ci(spark, d):
     """Mean event value with its cluster bootstrap over users."""
-    return resample.interval(resample.ratio_bootstrap(_users(spark, d), "v", "n", draws=2000), above=0.0)
+    return resample.interval(resample.ratio_bootstrap(_users(spark, d), "v", "n"), above=0.0)
 
 
 @register("poisson_bootstrap_ci")
 def poisson_bootstrap_ci(spark, d):
     """The same by hashed Poisson weights, as it runs beyond the size that is sent to tasks."""
-    return resample.interval(resample.ratio_bootstrap(_users(spark, d), "v", "n", draws=200, most_units=0))
+    return resample.interval(resample.ratio_bootstrap(_users(spark, d), "v", "n", most_units=0))
 
 
 @register("permutation_p")
 def permutation_p(spark, d):
     units = _users(spark, d).select((F.col("v") / F.col("n")).alias("v"), (F.col("user_id") % 2 == 0).alias("g"))
-    return resample.permutation_p(units, "v", "g", draws=2000)
+    return resample.permutation_p(units, "v", "g")
 
 
 @register("poisson_ratio")
