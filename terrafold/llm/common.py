@@ -11,7 +11,11 @@ import pyarrow.compute as pc
 from terrafold.operators.graph import components
 from terrafold.operators.tables import discard, materialize, table
 
-__all__ = ["chunks", "components", "discard", "materialize", "table", "text_bytes", "texts", "union_roots"]
+__all__ = ["chunks", "components", "discard", "materialize", "spread", "table", "text_bytes", "texts", "union_roots"]
+
+#: Links to lower members that one member of a group has at most, in what :func:`spread` makes of the group.
+FAN = 32
+
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into pieces with about ``most_bytes`` of text each, one row at least."""
@@ -45,3 +49,15 @@ def union_roots(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         np.minimum.at(roots, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
         while not np.array_equal(up := roots[roots], roots):
             roots = up
+
+
+def spread(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Other links with the same groups as ``(a[i], b[i])``: each group as a tree of ``FAN`` branches, so that no member is a hub."""
+    nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    roots = union_roots(np.arange(len(nodes)), *np.split(place, 2))
+    order = np.argsort(roots, kind="stable")
+    begins = np.flatnonzero(np.diff(roots[order], prepend=-1))
+    first = np.repeat(begins, np.diff(np.append(begins, len(order))))
+    rank = np.arange(len(order)) - first
+    child = np.flatnonzero(rank)
+    return nodes[order[child]], nodes[order[first[child] + (rank[child] - 1) // FAN]]

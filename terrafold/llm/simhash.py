@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import chunks, components, materialize, text_bytes, union_roots
+from terrafold.llm.common import chunks, components, materialize, spread, text_bytes, union_roots
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
@@ -49,17 +50,34 @@ def _fingerprints(width: int):
     return run
 
 
-def _close(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
-    """Count filter, then proof: at most ``max_bits`` bytes differ, at most ``max_bits`` bits differ."""
-    x = a ^ b
-    y = x | x >> np.uint64(4)
-    y |= y >> np.uint64(2)
-    y |= y >> np.uint64(1)
-    shared = 8 - np.bitwise_count(y & np.uint64(0x0101010101010101))
-    return (shared >= 8 - max_bits) & (np.bitwise_count(x) <= max_bits)
+#: Positions of the bytes that a posting holds. These 14 fours are the ones whose numbers xor to 0: every three positions lie in
+#: exactly one of them, and with a four its other four is among them too, so whichever three bytes differ, some posting has none of them.
+POSTINGS = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
 
 
-def _bucket_links(key: np.ndarray, part: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _bytes(fps: np.ndarray) -> np.ndarray:
+    """The 8 positional bytes of each fingerprint, lowest first."""
+    return np.ascontiguousarray(fps, dtype="<u8").view(np.uint8).reshape(-1, 8)
+
+
+def shared_bytes(a: np.ndarray, b: np.ndarray, posting: np.ndarray) -> np.ndarray:
+    """Tally of the shared positional bytes of pairs met in a posting: its own four, and those among the other four that are equal.
+
+    ``a`` and ``b`` are bytes of shape ``(..., 8)``; ``posting`` numbers each pair's posting, a scalar for all.
+    """
+    own = np.zeros((len(POSTINGS), 8), bool)
+    for k, places in enumerate(POSTINGS):
+        own[k, list(places)] = True
+    return 4 + ((a == b) & ~own[posting]).sum(-1, dtype=np.int64)
+
+
+def _retained(a: np.ndarray, b: np.ndarray, posting: np.ndarray, max_bits: int) -> np.ndarray:
+    """Places of the pairs that reach the guaranteed number of shared bytes and then differ in ``max_bits`` bits or fewer."""
+    counted = np.flatnonzero(shared_bytes(_bytes(a), _bytes(b), posting) >= 8 - max_bits)
+    return counted[np.bitwise_count(a[counted] ^ b[counted]) <= max_bits]
+
+
+def _bucket_links(key: np.ndarray, posting: np.ndarray, part: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links inside each bucket. ``key`` is sorted; ``part`` tells the tile's side."""
     n = len(key)
     roots = np.arange(n)
@@ -70,7 +88,7 @@ def _bucket_links(key: np.ndarray, part: np.ndarray, fps: np.ndarray, max_bits:
         a = np.flatnonzero((key[d:] == key[:-d]) & small[d:])
         if not len(a):
             break
-        a = a[_close(fps[a], fps[a + d], max_bits)]
+        a = a[_retained(fps[a], fps[a + d], posting[a], max_bits)]
         roots = union_roots(roots, a, a + d)
     for at, size in zip(begins[sizes > SMALL], sizes[sizes > SMALL]):
         whole = np.arange(at, at + size)
@@ -78,10 +96,12 @@ def _bucket_links(key: np.ndarray, part: np.ndarray, fps: np.ndarray, max_bits:
         one, two = (sides[0], sides[-1])
         for i in range(0, len(one), 128):
             block = one[i : i + 128]
-            a, b = np.nonzero(_close(fps[block][:, None], fps[two][None, :], max_bits))
-            roots = union_roots(roots, block[a], two[b])
+            tally = shared_bytes(_bytes(fps[block])[:, None], _bytes(fps[two])[None], posting[at])
+            a, b = np.nonzero(tally >= 8 - max_bits)
+            near = np.bitwise_count(fps[block[a]] ^ fps[two[b]]) <= max_bits
+            roots = union_roots(roots, block[a[near]], two[b[near]])
     moved = np.flatnonzero(roots != np.arange(n))
-    return fps[moved], fps[roots[moved]]
+    return spread(fps[moved], fps[roots[moved]])
 
 
 def _links(max_bits: int):
@@ -92,7 +112,7 @@ def _links(max_bits: int):
             key, tile, part, fps = (np.concatenate(x) for x in zip(*rows))
             # a bucket of several tiles is one group per pair of tiles
             group = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]))))
-            a, b = _bucket_links(group, part, fps.view(np.uint64), max_bits)
+            a, b = _bucket_links(group, key >> 32, part, fps.view(np.uint64), max_bits)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["src", "dst"])
 
         for batch in batches:
@@ -115,18 +135,18 @@ def _links(max_bits: int):
 def near_links(distinct: DataFrame, max_bits: int = 3, tile: int = TILE) -> DataFrame:
     """Links ``(src, dst)`` that span every group of fingerprints joined by ``max_bits`` or fewer bits.
 
-    ``distinct`` has one row per fingerprint ``fp`` (long). Two fingerprints within 3 bits share at
-    least 5 of their 8 positional bytes, so at least 3 of the 4 in one half: the inverted index has
-    the 8 postings of three bytes of a half that every such pair must share one of. Inside a posting the shared
-    bytes are tallied, pairs with the guaranteed 5 kept, and their bits compared. A posting larger
+    ``distinct`` has one row per fingerprint ``fp`` (long). Two fingerprints within 3 bits share at least 5 of their 8
+    positional bytes. The inverted index has a posting for each of ``POSTINGS``, four bytes and where they stand, and every such pair
+    meets in one at least. There the pair's shared bytes are tallied: the posting's four and what else is equal. A pair met by
+    chance seldom shares one more, so the count leaves about one in 64 of them; those with the guaranteed 5 have their bits
+    compared. The tally stays inside a posting, since a group of near copies must not be expanded into pairs for a shuffle. A posting larger
     than ``tile`` is split into pairs of tiles, each its own group. Only a spanning forest leaves a group.
+    Of N random fingerprints about 14 N^2 / 2^33 pairs meet: fewer than N up to some 10^8.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("the postings guarantee up to 3 bits")
-    half = [F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(0xFFFFFFFF)]
-    keys = [
-        h.bitwiseAND(0xFFFFFFFF ^ (0xFF << 8 * i)) + (4 * s + i) * 2**32 for s, h in enumerate(half) for i in range(4)
-    ]
+    byte = lambda k: F.shiftrightunsigned("fp", 8 * k).bitwiseAND(0xFF)
+    keys = [sum((byte(k) * 256**j for j, k in enumerate(places)), F.lit(n * 2**32)) for n, places in enumerate(POSTINGS)]
     index = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     large = index.groupBy("key").count().where(F.col("count") > tile)
     large = large.select("key", F.ceil(F.col("count") / tile).alias("tiles"))
