@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import components, materialize, union_roots
+from terrafold.llm.common import components, materialize, spread, union_roots
 
 #: Distinct vectors of a tile.
 TILE = 2048
@@ -20,6 +20,8 @@ FIT = 8192
 RANGES = 4
 #: Rounding room of the bounds; pairs so near to the threshold are computed again from the vectors as given.
 ROOM = 1e-9
+#: Strips of the first axis to the radius of the threshold, by which tiles are dealt to be paired.
+STRIPS = 32
 
 
 def axes(sample: np.ndarray) -> np.ndarray:
@@ -121,7 +123,7 @@ def _leading(shared):
 
 
 def _compare(shared, threshold: float):
-    """Rows ``(cls, links, root)``: links of a class in this pair of tiles (by number of vectors), or a forest's edge."""
+    """Rows ``(cls, links, root)``: links of a class in this pair of tiles (by number of vectors), or an edge of a forest without hubs."""
 
     def compared(sides: dict[int, list]) -> pa.RecordBatch:
         ids, counts, raw = {}, {}, {}
@@ -141,11 +143,11 @@ def _compare(shared, threshold: float):
             apart = i != j
             i, j = i[apart], j[apart]
             number = np.bincount(i, counts[0][j], len(ids[0]))
-        roots = union_roots(np.arange(len(every)), i, j + offset)
-        has, moved = np.flatnonzero(number), np.flatnonzero(roots != np.arange(len(every)))
-        cls = pa.array(np.concatenate((every[has], every[moved])))
-        links = pa.array(np.concatenate((number[has].astype(np.int64), np.zeros(len(moved), np.int64))))
-        root = pa.array(np.concatenate((every[has], every[roots[moved]])))
+        has = np.flatnonzero(number)
+        one, two = spread(every[i], every[j + offset])
+        cls = pa.array(np.concatenate((every[has], one)))
+        links = pa.array(np.concatenate((number[has].astype(np.int64), np.zeros(len(one), np.int64))))
+        root = pa.array(np.concatenate((every[has], two)))
         return pa.RecordBatch.from_arrays([cls, links, root], ["cls", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +179,12 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
 
     Equal vectors of a label form a class that is compared once and counted by its size. Classes are
     dealt into tiles in the order of the first principal axis; tiles of a label are paired where their ranges on the
-    leading axes allow the threshold; each pair is one group of at most two tiles of rows.
+    leading axes allow the threshold, by strips of the first axis, so that a hot label's tiles are not paired in one task;
+    each pair is one group of at most two tiles of rows.
     Comparing inside a label is quadratic in its distinct vectors where the bounds don't
     part tiles; that work is spread over tile pairs, never over whole labels. Links leave a task as
-    counts and a spanning forest.
+    counts and a spanning forest without hubs. Vectors move to their class, to their tile and to their pairs of tiles; verdicts come
+    back to the rows by a 128-bit key.
 
     Cases: null label, null vector, zero vector, an empty one, or a null or non-finite component: no links, own
     component, kept. Vectors of one label but different lengths aren't compared. Repeated rows
@@ -192,6 +196,8 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     valid = F.col("label").isNotNull() & F.forall("vector", sound) & F.exists("vector", lambda x: x != 0)
     plain = plain.withColumn("vector", F.when(valid, F.col("vector")))
+    # 128 bits stand for a label and vector where only the class is asked for; that no two classes share them is checked
+    key = lambda lab, vec: (F.xxhash64(lab, vec).alias("k1"), F.xxhash64(F.lit(1), vec, lab).alias("k2"))
     classes = plain.where("vector is not null").groupBy("label", "vector").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("cls"), "*", F.size("vector").alias("dim")), "classes")
 
@@ -212,10 +218,16 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
 
     ranges = [f(f"y{k}").alias(f"{n}{k}") for k in range(RANGES) for f, n in ((F.min, "lo"), (F.max, "hi"))]
     box = placed.groupBy("grp", "tile").agg(*ranges)
-    one, two = box.alias("a"), box.alias("b")
+    # dealt by strips of the first axis: a box by its own, its partners by all within reach; a pair counts in the first strip of both
+    width = float(np.sqrt(2 - 2 * threshold + ROOM)) / STRIPS
+    strip = lambda c: F.floor(F.col(c) / width)
+    reach = F.sequence(strip("lo0") - STRIPS - 1, strip("hi0") + STRIPS + 1)
+    one = box.select("*", strip("lo0").alias("from"), F.explode(F.sequence(strip("lo0"), strip("hi0"))).alias("strip")).alias("a")
+    two = box.select("*", (strip("lo0") - STRIPS - 1).alias("from"), F.explode(reach).alias("strip")).alias("b")
     gap = lambda k: F.greatest(F.lit(0.0), F.col(f"a.lo{k}") - F.col(f"b.hi{k}"), F.col(f"b.lo{k}") - F.col(f"a.hi{k}"))
     apart = sum((gap(k) * gap(k) for k in range(1, RANGES)), gap(0) * gap(0))
-    near = one.join(two, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.tile") <= F.col("b.tile")) & (apart <= 2 - 2 * threshold + ROOM))
+    once = F.col("a.strip") == F.greatest("a.from", "b.from")
+    near = one.join(two, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.strip") == F.col("b.strip")) & once & (F.col("a.tile") <= F.col("b.tile")) & (apart <= 2 - 2 * threshold + ROOM))
     pairs = materialize(near.select(F.col("a.tile").alias("tile_a"), F.col("b.tile").alias("tile_b")), "pairs")
     sides = pairs.select(F.col("tile_a").alias("tile"), "tile_a", "tile_b", F.lit(0).alias("side")).union(pairs.where("tile_a < tile_b").select("tile_b", "tile_a", "tile_b", F.lit(1)))
     dealt = placed.select("cls", "vector", "n", "tile").join(sides, "tile").repartition("tile_a", "tile_b").sortWithinPartitions("tile_a", "tile_b")
@@ -227,10 +239,13 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     ids = classes.select("cls", "least")
     reached = joined.join(ids, joined.node == ids.cls).groupBy("root").agg(F.min("least").alias("reached"))
     moved = joined.join(reached, "root").select(F.col("node").alias("cls"), "reached")
-    answer = classes.select("cls", "label", "vector", "least", "n").join(counts, "cls", "left").join(moved, "cls", "left")
-    answer = answer.select("label", "vector", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("reached", "least").alias("component_id"))
+    answer = classes.select("cls", *key("label", "vector"), "least", "n").join(counts, "cls", "left").join(moved, "cls", "left")
+    others = F.coalesce("others", F.lit(0)) + F.col("n") - 1
+    one_class = F.when(F.count("*") > 1, F.raise_error(F.lit("two classes of vectors have one key"))).otherwise(F.min(F.coalesce("reached", "least")))
+    answer = answer.groupBy("k1", "k2").agg(F.min(others).alias("n_links"), one_class.alias("component_id"))
     answer = materialize(answer, "answer")  # a plain table, so that Spark can split a hot vector's rows in the join
     alone = F.col("vector").isNull()
-    out = plain.alias("p").join(answer.alias("c"), ["label", "vector"], "left")
+    out = plain.select("id", alone.alias("alone"), *(F.when(~alone, k).alias(n) for k, n in zip(key("label", "vector"), ("k1", "k2"))))
+    out, alone = out.join(answer, ["k1", "k2"], "left"), F.col("alone")
     component = F.when(alone, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
