@@ -142,7 +142,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits
     A document's tokens end with id 2; longer ones than a sequence are cut. Pieces are numbered per
     length without a global sort: each task numbers its own, the tasks' counts are summed up per
     length, and the bins are planned on the histogram of lengths alone, at most ``limits.tokens`` numbers for the driver.
-    The planned slots, bounded likewise, are joined to the pieces. Cases: a null or
+    The planned slots, bounded likewise, are joined to the pieces. Pieces move once, for their tasks' counts. Cases: a null or
     empty text is the end token alone; repeated rows and null ids are packed like others, one piece
     set per row; an empty table packs nothing; other columns are ignored.
     """
@@ -156,7 +156,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits
     by_task = materialize(by_task.select("length", "task", "count", F.coalesce(before, F.lit(0)).alias("before")), "tasks")
     counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     slots = spark.createDataFrame(plan(counts, limits) or [(0, 0, 0, 0, 0)], "length long, low long, high long, first long, offset long")
-    numbered = pieces.join(by_task.drop("count"), ["length", "task"]).withColumn("k", F.col("before") + F.col("turn"))
+    # as many rows as tasks times lengths: dealt, not broadcast; a hot length is split by its tasks
+    numbered = pieces.join(by_task.drop("count").hint("shuffle_hash"), ["length", "task"]).withColumn("k", F.col("before") + F.col("turn"))
     placed = numbered.join(F.broadcast(slots), "length").where("k >= low and k < high")
     return placed.select(
         F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("k") - F.col("low")).alias("sequence_id"), "offset", *(["ids"] if keep_ids else [])
