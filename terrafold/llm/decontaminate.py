@@ -10,6 +10,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,8 @@ WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 o
 #: The same words in a text whose letters are still as written.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 WINDOW = 10
-#: Words of test items that one broadcast set may hold; a larger test set is scanned for in several sets.
+#: Words of test items that one broadcast set holds at most; a larger test set is scanned for in several sets, built one at a time.
+#: A set costs its windows' hashes, places and items, 24 bytes a word, and each different word once, some 120 bytes.
 SET_WORDS = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -31,49 +33,62 @@ def split_words(text: bytes) -> list[bytes]:
 
 
 class WindowSet:
-    """Windows of the test items by the hash of their word numbers."""
+    """Windows of the test items as arrays: sorted hashes, where the window stands in the items' word numbers, whose it is."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str | None]] = defaultdict(set)
-        for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in split_words(text)]
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1) if size else ():
-                found[tuple(ids[i : i + size])].add(name)
-        self.sizes: dict[int, np.ndarray] = {}
-        self.windows: dict[tuple[int, int], dict[tuple[int, ...], tuple[str, ...]]] = defaultdict(dict)
-        for size in {len(w) for w in found}:
-            own = [w for w in found if len(w) == size]
-            hashes = self.rolled(np.array(own, dtype=np.int64).reshape(-1), size)[::size]
-            self.sizes[size] = np.unique(hashes)
-            for w, h in zip(own, hashes.tolist()):
-                self.windows[size, h][w] = tuple(sorted(found[w] - {None}))
+        number = self.vocabulary.setdefault
+        own = [np.array([number(w, len(self.vocabulary)) for w in split_words(text)], dtype=np.int32) for _, text in items]
+        self.names = [name for name, _ in items]
+        self.words = np.concatenate([*own, np.zeros(0, np.int32)])
+        counts = np.array([len(x) for x in own], dtype=np.int64)
+        begins = np.cumsum(counts) - counts
+        lengths = np.minimum(counts, window)
+        self.tables: dict[int, tuple[np.ndarray, ...]] = {}
+        for size in sorted({int(n) for n in lengths if n}):
+            of = np.flatnonzero(lengths == size)
+            owner = np.repeat(of, counts[of] - size + 1)
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            place = begins[owner] + np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
+            hashes = self.rolled(self.words, size, place)
+            order = np.lexsort((*(self.words[place + k] for k in reversed(range(size))), hashes))
+            place, owner, hashes = place[order], owner[order], hashes[order]
+            new = np.ones(len(order), bool)
+            new[1:] = hashes[1:] != hashes[:-1]
+            for k in range(size):
+                new[1:] |= self.words[place[1:] + k] != self.words[place[:-1] + k]
+            at = np.flatnonzero(new)
+            self.tables[size] = hashes[at], place[at].astype(np.int32), np.append(at, len(order)).astype(np.int32), owner.astype(np.int32)
 
     @staticmethod
-    def rolled(ids: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
-        """Hash of the ``size`` numbers from each place on (every place that has so many)."""
-        at = np.arange(len(ids) - size + 1) if at is None else at
-        x = (ids + 1).astype(np.uint64)
+    def rolled(ids: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
+        """Hash of the ``size`` numbers from each place of ``at`` on."""
         h = np.zeros(len(at), np.uint64)
         for k in range(size):
-            h = h * BASE + x[at + k]
+            h = h * BASE + (ids[at + k].astype(np.int64) + 1).astype(np.uint64)
         return h
 
-    def hits(self, ids: np.ndarray) -> list[tuple[int, int, tuple[str, ...]]]:
+    def hits(self, ids: np.ndarray) -> list[tuple[int, int, list[str]]]:
         """Verified occurrences ``(place, size, items)`` in a row of word numbers; -1 is in no item."""
         out = []
         gaps = np.concatenate(([0], np.cumsum(ids < 0)))
-        for size, known in self.sizes.items():
+        for size, (known, place, ends, owner) in self.tables.items():
             if len(ids) < size:
                 continue
             at = np.flatnonzero(gaps[size:] == gaps[:-size])
             h = self.rolled(ids, size, at)
-            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            for p, k in zip(at[known[place] == h].tolist(), h[known[place] == h].tolist()):
-                names = self.windows[size, k].get(tuple(ids[p : p + size].tolist()))
-                if names is not None:
-                    out.append((p, size, names))
+            low = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            met = np.flatnonzero(known[low] == h)
+            at, h, low = at[met], h[met], low[met]
+            while len(at):  # windows of one hash stand side by side
+                same = np.ones(len(at), bool)
+                for k in range(size):
+                    same &= self.words[place[low] + k] == ids[at + k]
+                for p, w in zip(at[same].tolist(), low[same].tolist()):
+                    out.append((p, size, sorted({n for i in owner[ends[w] : ends[w + 1]].tolist() if (n := self.names[i]) is not None})))
+                more = np.flatnonzero(~same & (low + 1 < len(known)))
+                more = more[known[low[more] + 1] == h[more]]
+                at, h, low = at[more], h[more], low[more] + 1
         return out
 
 
@@ -138,8 +153,43 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(new, pa.string()))
 
 
-def _marked(df: DataFrame, known: WindowSet) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(known)
+def _parts(window: int, most: int):
+    """Items cut into parts of at most ``most`` words, in which each of an item's windows lies whole; ``n`` words, numbered by ``part``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            rows = []
+            for item, text in zip(batch.column("item").to_pylist(), text_bytes(batch)):
+                words = split_words(text)
+                for k, at in enumerate(range(0, max(1, len(words) - window + 1), most - window + 1) if words else ()):
+                    own = words[at : at + most]
+                    rows.append((item, b" ".join(own).decode("utf-8", "replace"), len(own), k))
+            cols = list(zip(*rows)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["item", "text", "n", "part"])
+
+    return run
+
+
+def _groups(most: int):
+    """Deal each task's parts into groups of at most ``most`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, left = TaskContext.get().partitionId() << 32, most
+        for batch in batches:
+            out = []
+            for n in batch.column("n").to_pylist():
+                if n > left:
+                    group, left = group + 1, most
+                left -= n
+                out.append(group)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "grp"])
+
+    return run
+
+
+def _marked(df: DataFrame, known) -> DataFrame:
+    """``df`` with its scan for a :class:`WindowSet`, given as such or as a broadcast."""
+    shared = df.sparkSession.sparkContext.broadcast(known) if isinstance(known, WindowSet) else known
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(_scan(shared), f"{types}, n_words long, hits array<struct<a:long,b:long>>, items array<string>")
 
@@ -149,31 +199,46 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     word numbers that lie inside an occurrence of an item's window, ``items`` the items' ids (strings).
 
     The words of ``benchmark`` are counted first. Up to ``set_words`` of them go out as one broadcast
-    set and the scan moves no document. Beyond that the items are dealt into sets of that size, the
-    documents are scanned once per set, and only the hits are brought together. Memory per task is
-    that of one set either way. Cases: null and empty texts have no words and no hits; an item with
+    set and the scan moves no document. Beyond that executors cut the items into overlapping parts and deal them into sets of at most
+    that size; the driver builds and sends one set at a time, the documents are scanned once per set, and only the hits are
+    brought together. Memory of the driver and of a task is that of one set either way. Cases: null and empty texts have no words and no hits; an item with
     fewer words than ``window`` is one window, with none it occurs nowhere; repeated documents are
     judged one by one, repeated items count once; an item with a null id counts as hit but can't be named in ``items``;
     columns beyond those named are ignored.
     """
+    spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
-    # a word has a character at least and another after it
-    sets = max(1, -(-(total[0] or 0) // (2 * set_words)))
-    own = [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(sets)) == k) for k in range(sets)]
-    known = lambda part: WindowSet([(r.item, r.text.encode()) for r in part.collect()], window)
-    if sets == 1:
-        return _marked(plain, known(own[0]))
+    room = max(set_words, 4 * window)
+    parts = items.mapInArrow(_parts(window, max(4 * window, set_words // 64)), "item string, text string, n long, part long")
+    parts = parts.dropDuplicates(["item", "text", "part"]).select("item", "text", "n")
+    parts = materialize(parts.mapInArrow(_groups(room), "item string, text string, n long, grp long"), "items")
+    known = lambda part: WindowSet([(r.item, r.text.encode()) for r in part.select("item", "text").collect()], window)
+    sets, left = [], 0
+    for grp, n in sorted(parts.groupBy("grp").agg(F.sum("n")).collect()):  # a row a task and set
+        if n > left:
+            sets.append([])
+            left = room
+        sets[-1].append(grp)
+        left -= n
+    if len(sets) < 2:
+        return _marked(plain, known(parts))
     plain = materialize(plain.withColumn("row", F.monotonically_increasing_id()), "documents")
-    parts = [_marked(plain.select("row", "text"), known(part)).drop("text") for part in own]
-    hit = parts[0].where("size(hits) > 0")
-    for part in parts[1:]:
-        hit = hit.unionByName(part.where("size(hits) > 0"))
+    found, counted = [], None
+    for own in sets:
+        shared = spark.sparkContext.broadcast(known(parts.where(F.col("grp").isin(own))))
+        marked = _marked(plain.select("row", "text"), shared).drop("text")
+        if counted is None:
+            marked = counted = materialize(marked, "counts")
+        found.append(materialize(marked.where("size(hits) > 0").select("row", "hits", "items"), "hits"))
+        shared.unpersist()
+    hit = found[0]
+    for part in found[1:]:
+        hit = hit.unionByName(part)
     hit = hit.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     join = "aggregate(hits, cast(array() as array<struct<a:long,b:long>>), (m, x) -> if(size(m) > 0 and x.a <= element_at(m, -1).b, concat(slice(m, 1, size(m) - 1), array(named_struct('a', element_at(m, -1).a, 'b', greatest(element_at(m, -1).b, x.b)))), concat(m, array(x))))"
     hit = hit.withColumn("hits", F.expr(join))
-    counted = plain.join(parts[0].select("row", "n_words"), "row").join(hit, "row", "left")
+    counted = plain.join(counted.select("row", "n_words"), "row").join(hit, "row", "left")
     none = "cast(array() as array<struct<a:long,b:long>>)"
     return counted.select("id", "text", "n_words", F.coalesce("hits", F.expr(none)).alias("hits"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
 
