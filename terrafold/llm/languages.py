@@ -14,9 +14,10 @@ from terrafold.llm.common import chunks, texts
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
-#: Labelled rows, about, that the n-gram model is fitted on, and n-grams that it keeps, the most frequent first.
+#: Labelled rows, about, that the n-gram model is fitted on. All their n-grams are kept; so many of them, by language, that the
+#: driver and tasks could not hold the model are an error, never a smaller model.
 FIT_ROWS = 20_000
-FIT_GRAMS = 50_000
+FIT_GRAMS = 4_000_000
 #: Trigrams that make up one unit of the mixture, a stretch of text in one language.
 UNIT = 32
 #: Rounds of expectation-maximisation for each set of languages.
@@ -112,7 +113,8 @@ def mixtures(units: np.ndarray, begins: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, grams: int = FIT_GRAMS, id_col: str = "doc_id") -> Model:
     """N-gram model of the labelled texts; rows without text or language are left out.
 
-    About ``rows`` rows, chosen by a hash of the id and the text, are counted on the executors; the driver gets the ``grams`` most frequent n-grams.
+    About ``rows`` rows, chosen by a hash of the id and the text, are counted on the executors; the driver gets the counts, one number a
+    language and n-gram, and refuses more than ``grams``.
     Exact copies under ids of their own are drawn one by one; a table without ``id_col`` is drawn by the text alone, copies together.
     """
     own = F.col(id_col) if id_col in labelled.columns else F.lit(None).cast("long")
@@ -121,12 +123,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
     if n > rows:
         known = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < F.lit(int((1 << 20) * rows / n)))
     counted = known.select("text", "lang").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by_gram = counted.groupBy("gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(totals)
-    kept = by_gram.orderBy(F.desc("total"), "gram").limit(grams).collect()
-    table = np.array([[r.by.get(x, 0) for x in langs] for r in kept], dtype=np.float64).reshape(len(kept), len(langs))
-    return Model(langs, np.array([r.gram for r in kept], dtype=np.int64), table, np.array([totals[x] for x in langs], dtype=np.float64))
+    found = counted.limit(grams + 1).toArrow()
+    if found.num_rows > grams:
+        raise ValueError(f"the fit sample has more than {grams} n-grams by language: fit on fewer rows, or raise grams")
+    langs, lang = np.unique(np.array(found.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
+    kept, place = np.unique(found.column("gram").to_numpy(), return_inverse=True)
+    table = np.zeros((len(kept), len(langs)))
+    table[place, lang] = found.column("n").to_numpy()
+    return Model(langs.tolist(), kept, table, table.sum(0))
 
 
 def _predict(shared):
