@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,9 +28,14 @@ def mean_defined(*cols: Column | str) -> Column:
 
     One fold that names each value once: nested means of gaps stay small expressions.
     """
+    return _mean(F.array(*map(as_col, cols)))
+
+
+def _mean(values: Column) -> Column:
+    """Mean of an array's values that are defined."""
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
     add = lambda acc, x: F.struct((acc["s"] + F.coalesce(x, F.lit(0.0))).alias("s"), (acc["n"] + F.when(x.isNull(), 0).otherwise(1)).alias("n"))
-    return F.aggregate(F.array(*map(as_col, cols)), start, add, lambda acc: F.when(acc["n"] > 0, acc["s"] / acc["n"]))
+    return F.aggregate(values, start, add, lambda acc: F.when(acc["n"] > 0, acc["s"] / acc["n"]))
 
 
 def round_even(c: Column | str, places: int = 6) -> Column:
@@ -45,52 +50,76 @@ def clip(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
 CATS = ("fire", "ems", "school")
 
 
-def build(
-    road: tuple[str, str] = ("ovt_road", "tig_road"),
-    bldg: tuple[str, str] = ("ovt_bldg", "ms_bldg"),
-    places: str = "ovt_places",
-    fac_sfx: str = "",
-    cbp: str = "cbp_estab",
-    poi: str = "halves",
-    undefined_fac: str = "skip",
-    divisor: str = "defined",
-    cap: bool = True,
-    decimals: int | None = 6,
-    round_components: bool = False,
-    gap_of=gap,
-) -> Column:
-    """The composite under one set of conventions; an undefined composite becomes 0. ``gap_of`` gives the gap of two counts."""
-    t, b = gap_of(*road, cap), gap_of(*bldg, cap)
-    per = {k: gap_of(f"ovt_{k}{fac_sfx}", f"ref_{k}", cap) for k in CATS}
-    if undefined_fac == "zero":
-        per = {k: F.coalesce(v, F.lit(0.0)) for k, v in per.items()}
-    places_gap = gap_of(places, cbp, cap)
-    p = {
-        "halves": lambda: mean_defined(mean_defined(*per.values()), places_gap),
-        "flat4": lambda: mean_defined(*per.values(), places_gap),
-        "no_ems": lambda: mean_defined(mean_defined(per["fire"], per["school"]), places_gap),
-        "fire": lambda: mean_defined(per["fire"], places_gap),
-    }[poi]()
-    parts = [round_even(x) if round_components else x for x in (t, b, p)]
-    whole = mean_defined(*parts) if divisor == "defined" else reduce(lambda x, y: x + y, (F.coalesce(c, F.lit(0.0)) for c in parts)) / 3.0
-    whole = F.coalesce(whole, F.lit(0.0))
-    whole = clip(whole) if cap else whole
-    return whole if decimals is None else round_even(whole, decimals)
-
-
-class GapColumns:
-    """Gaps as columns of their own, each once however many composites use it; counts are given as SQL expressions."""
-
-    def __init__(self) -> None:
-        self.columns: dict[str, Column] = {}
-        self._names: dict[tuple[str, str, bool], str] = {}
-
-    def __call__(self, observed: str, reference: str, cap: bool = True) -> Column:
-        key = (observed, reference, cap)
-        if key not in self._names:
-            self._names[key] = name = f"gap_{len(self._names)}"
-            self.columns[name] = gap(F.expr(observed), F.expr(reference), cap)
-        return F.col(self._names[key])
+@dataclass(frozen=True)
+class Gap:
+    """The gap of two counts, SQL expressions each; ``undefined`` stands for it where the reference isn't positive."""
+
+    observed: str
+    reference: str
+    undefined: float | None = None
+
+
+#: A gap, or the mean of those of its members that are defined.
+Part = Gap | tuple["Part", ...]
+
+
+def facilities(suffix: str = "", undefined: float | None = None, kinds: Sequence[str] = CATS) -> tuple[Gap, ...]:
+    return tuple(Gap(f"ovt_{k}{suffix}", f"ref_{k}", undefined) for k in kinds)
+
+
+ROADS, BUILDINGS, PLACES = Gap("ovt_road", "tig_road"), Gap("ovt_bldg", "ms_bldg"), Gap("ovt_places", "cbp_estab")
+
+
+@dataclass(frozen=True)
+class Convention:
+    """A composite as data: what its parts are means of, and how they are brought together. An undefined composite is 0."""
+
+    parts: tuple[Part, ...] = (ROADS, BUILDINGS, (facilities(), PLACES))
+    divisor: float | None = None  # of the parts' sum, undefined ones 0; without it the parts' mean
+    capped: bool = True
+    decimals: int | None = 6
+    rounded_parts: bool = False
+
+    def like(self, part: int, new: Part) -> Convention:
+        """The same with another part."""
+        return replace(self, parts=(*self.parts[:part], new, *self.parts[part + 1 :]))
+
+
+def _groups(part: Part) -> list[list[Gap]]:
+    """A part as a mean of means of gaps."""
+    return [[x] if isinstance(x, Gap) else list(x) for x in ([part] if isinstance(part, Gap) else part)]
+
+
+def composites(conventions: Sequence[Convention]) -> Column:
+    """One array with the composite under each convention, from one expression however many there are.
+
+    Each gap is computed once, into an array; a convention is a row of constants that says which of them its parts are
+    means of, and one lambda folds them. So the plan of a sweep of many variants is about that of one.
+    """
+    gaps: dict[tuple[Gap, bool], int] = {}
+    spec = []
+    for c in conventions:
+        own = [[[gaps.setdefault((g, c.capped), len(gaps)) for g in group] for group in _groups(part)] for part in c.parts]
+        lit = F.array(*(F.array(*(F.array(*map(F.lit, group)) for group in part)) for part in own))
+        spec.append(F.struct(lit.alias("parts"), F.lit(c.divisor).cast("double").alias("divisor"), F.lit(c.capped).alias("capped"), F.lit(c.decimals).cast("int").alias("decimals"), F.lit(c.rounded_parts).alias("rounded")))
+    filled = lambda g, capped: gap(F.expr(g.observed), F.expr(g.reference), capped) if g.undefined is None else F.coalesce(gap(F.expr(g.observed), F.expr(g.reference), capped), F.lit(g.undefined))
+    values = F.array(*(filled(g, capped) for g, capped in gaps))
+    rounded = lambda x, places: F.rint(x * F.pow(F.lit(10.0), places)) / F.pow(F.lit(10.0), places)
+
+    def one(v: Column, c: Column) -> Column:
+        each = F.transform(c["parts"], lambda part: _mean(F.transform(part, lambda group: _mean(F.transform(group, lambda i: F.get(v, i))))))
+        each = F.transform(each, lambda x: F.when(c["rounded"], rounded(x, F.lit(6))).otherwise(x))
+        total = F.aggregate(each, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+        whole = F.coalesce(F.when(c["divisor"].isNull(), _mean(each)).otherwise(total / c["divisor"]), F.lit(0.0))
+        whole = F.when(c["capped"], clip(whole)).otherwise(whole)
+        return F.when(c["decimals"].isNull(), whole).otherwise(rounded(whole, c["decimals"]))
+
+    # the values enter the lambda as an element, so that they are computed once a row
+    return F.flatten(F.transform(F.array(values), lambda v: F.transform(F.array(*spec), lambda c: one(v, c))))
+
+
+def composite(convention: Convention = Convention()) -> Column:
+    return F.get(composites([convention]), F.lit(0))
 
 
 def weighted_mean(value: Column | str, weight: Column | str) -> Column:

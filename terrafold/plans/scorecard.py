@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,46 +96,57 @@ def sql_round(x: str, places: int = 6) -> str:
     return f"(round_even(({x}) * 1e{places}::DOUBLE, 0) / 1e{places}::DOUBLE)"
 
 
-def sql_build(road=("ovt_road", "tig_road"), bldg=("ovt_bldg", "ms_bldg"), places="ovt_places", fac_sfx="", cbp="cbp_estab", poi="halves", undefined_fac="skip", divisor="defined", cap=True, decimals=6, round_components=False) -> str:
-    t, b = sql_gap(*road, cap), sql_gap(*bldg, cap)
-    per = {k: sql_gap(f"ovt_{k}{fac_sfx}", f"ref_{k}", cap) for k in sc.CATS}
-    if undefined_fac == "zero":
-        per = {k: f"COALESCE({v}, 0.0::DOUBLE)" for k, v in per.items()}
-    est = sql_gap(places, cbp, cap)
-    p = {"halves": lambda: sql_mean(sql_mean(*per.values()), est), "flat4": lambda: sql_mean(*per.values(), est), "no_ems": lambda: sql_mean(sql_mean(per["fire"], per["school"]), est), "fire": lambda: sql_mean(per["fire"], est)}[poi]()
-    parts = [sql_round(x) if round_components else x for x in (t, b, p)]
-    whole = sql_mean(*parts) if divisor == "defined" else "((" + " + ".join(f"COALESCE({x}, 0.0::DOUBLE)" for x in parts) + ") / 3.0::DOUBLE)"
-    whole = f"COALESCE({whole}, 0.0::DOUBLE)"
-    whole = f"GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, {whole}))" if cap else whole
-    return whole if decimals is None else sql_round(whole, decimals)
-
-
-#: The sweep: (name, conventions that differ from the scored ones).
-VARIANTS: list[tuple[str, str, dict]] = [
-    ("roads", "midpoint", dict(road=("ovt_road_mid", "tig_road_mid"))),
-    ("roads", "split_lonlat", dict(road=("ovt_road_ll", "tig_road_ll"))),
-    ("roads", "geodesic", dict(road=("ovt_road_geo", "tig_road_geo"))),
-    ("roads", "tertiary", dict(road=("ovt_road + ovt_road_tertiary", "tig_road"))),
-    ("roads", "ramps", dict(road=("ovt_road", "tig_road + tig_road_s1630"))),
-    ("buildings", "bbox_centre", dict(bldg=("ovt_bldg_bbox", "ms_bldg_bbox"))),
-    ("buildings", "touching", dict(bldg=("ovt_bldg_int", "ms_bldg_int"))),
-    ("buildings", "parts", dict(bldg=("ovt_bldg_parts", "ms_bldg_parts"))),
-    ("places", "within", dict(places="ovt_places_within", fac_sfx="_within")),
-    ("places", "nonnull", dict(places="ovt_places_nonnull")),
-    ("weighting", "residential", dict(cbp="cbp_estab_res")),
-    ("weighting", "flat4", dict(poi="flat4")),
-    ("weighting", "undefined_zero", dict(undefined_fac="zero")),
-    ("weighting", "no_ems", dict(poi="no_ems")),
-    ("weighting", "fire", dict(poi="fire")),
-    ("weighting", "divisor_three", dict(divisor="three")),
-    ("weighting", "uncapped", dict(cap=False)),
-    ("output", "round_components", dict(round_components=True)),
-    ("output", "full_precision", dict(decimals=None)),
+def sql_part(part: sc.Part, cap: bool) -> str:
+    if isinstance(part, tuple):
+        return sql_mean(*(sql_part(x, cap) for x in part))
+    found = sql_gap(part.observed, part.reference, cap)
+    return found if part.undefined is None else f"COALESCE({found}, {part.undefined}::DOUBLE)"
+
+
+def sql_composite(c: sc.Convention = sc.Convention()) -> str:
+    parts = [sql_round(x) if c.rounded_parts else x for x in (sql_part(p, c.capped) for p in c.parts)]
+    zero = lambda x: f"COALESCE({x}, 0.0::DOUBLE)"
+    whole = zero(sql_mean(*parts) if c.divisor is None else f"(({' + '.join(map(zero, parts))}) / {c.divisor}::DOUBLE)")
+    whole = f"GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, {whole}))" if c.capped else whole
+    return whole if c.decimals is None else sql_round(whole, c.decimals)
+
+
+SCORED = sc.Convention()
+#: The parts of a convention by their places.
+T, B, P = 0, 1, 2
+#: The ways to bring facilities and places together.
+POI = {
+    "halves": (sc.facilities(), sc.PLACES),
+    "flat4": (*sc.facilities(), sc.PLACES),
+    "no_ems": (sc.facilities(kinds=("fire", "school")), sc.PLACES),
+    "fire": (*sc.facilities(kinds=("fire",)), sc.PLACES),
+}
+#: The sweep: (group, name, convention), each with one thing changed in the scored one.
+VARIANTS: list[tuple[str, str, sc.Convention]] = [
+    ("roads", "midpoint", SCORED.like(T, sc.Gap("ovt_road_mid", "tig_road_mid"))),
+    ("roads", "split_lonlat", SCORED.like(T, sc.Gap("ovt_road_ll", "tig_road_ll"))),
+    ("roads", "geodesic", SCORED.like(T, sc.Gap("ovt_road_geo", "tig_road_geo"))),
+    ("roads", "tertiary", SCORED.like(T, sc.Gap("ovt_road + ovt_road_tertiary", "tig_road"))),
+    ("roads", "ramps", SCORED.like(T, sc.Gap("ovt_road", "tig_road + tig_road_s1630"))),
+    ("buildings", "bbox_centre", SCORED.like(B, sc.Gap("ovt_bldg_bbox", "ms_bldg_bbox"))),
+    ("buildings", "touching", SCORED.like(B, sc.Gap("ovt_bldg_int", "ms_bldg_int"))),
+    ("buildings", "parts", SCORED.like(B, sc.Gap("ovt_bldg_parts", "ms_bldg_parts"))),
+    ("places", "within", SCORED.like(P, (sc.facilities("_within"), sc.Gap("ovt_places_within", "cbp_estab")))),
+    ("places", "nonnull", SCORED.like(P, (sc.facilities(), sc.Gap("ovt_places_nonnull", "cbp_estab")))),
+    ("weighting", "residential", SCORED.like(P, (sc.facilities(), sc.Gap("ovt_places", "cbp_estab_res")))),
+    ("weighting", "flat4", SCORED.like(P, POI["flat4"])),
+    ("weighting", "undefined_zero", SCORED.like(P, (sc.facilities(undefined=0.0), sc.PLACES))),
+    ("weighting", "no_ems", SCORED.like(P, POI["no_ems"])),
+    ("weighting", "fire", SCORED.like(P, POI["fire"])),
+    ("weighting", "divisor_three", replace(SCORED, divisor=3.0)),
+    ("weighting", "uncapped", replace(SCORED, capped=False)),
+    ("output", "round_components", replace(SCORED, rounded_parts=True)),
+    ("output", "full_precision", replace(SCORED, decimals=None)),
 ]
 
 
 SCORE_SQL = f"""SELECT area, region, {sql_round(sql_gap('ovt_road', 'tig_road'))} AS transport_gap, {sql_round(sql_gap('ovt_bldg', 'ms_bldg'))} AS building_gap,
- {sql_round(sql_mean(sql_mean(*(sql_gap(f'ovt_{k}', f'ref_{k}') for k in sc.CATS)), sql_gap('ovt_places', 'cbp_estab')))} AS poi_gap, {sql_build()} AS coverage_gap_score FROM counts"""
+ {sql_round(sql_mean(sql_mean(*(sql_gap(f'ovt_{k}', f'ref_{k}') for k in sc.CATS)), sql_gap('ovt_places', 'cbp_estab')))} AS poi_gap, {sql_composite()} AS coverage_gap_score FROM counts"""
 
 
 @register("gap_score_nation", f"WITH {COUNTS_SQL} {SCORE_SQL}")
@@ -144,7 +156,7 @@ def gap_score_nation(spark: SparkSession, d: str) -> DataFrame:
 
 def scored(df: DataFrame) -> DataFrame:
     poi = sc.mean_defined(sc.mean_defined(*(sc.gap(f"ovt_{k}", f"ref_{k}") for k in sc.CATS)), sc.gap("ovt_places", "cbp_estab"))
-    return df.select("area", "region", sc.round_even(sc.gap("ovt_road", "tig_road")).alias("transport_gap"), sc.round_even(sc.gap("ovt_bldg", "ms_bldg")).alias("building_gap"), sc.round_even(poi).alias("poi_gap"), sc.build().alias("coverage_gap_score"))
+    return df.select("area", "region", sc.round_even(sc.gap("ovt_road", "tig_road")).alias("transport_gap"), sc.round_even(sc.gap("ovt_bldg", "ms_bldg")).alias("building_gap"), sc.round_even(poi).alias("poi_gap"), sc.composite().alias("coverage_gap_score"))
 
 
 @register("gap_basic", f"WITH {COUNTS_SQL} SELECT area, {sql_round(sql_gap('ovt_bldg', 'ms_bldg'))} AS gap FROM counts")
@@ -162,29 +174,30 @@ def gap_mean_defined(spark, d):
     return counts(spark, d).select("area", sc.round_even(sc.mean_defined(sc.gap("ovt_bldg", "ms_bldg"), sc.gap("ovt_road", "tig_road"), sc.gap("ovt_places", "cbp_estab"))).alias("mean_gap"))
 
 
-@register("gap_divisor_three", f"WITH {COUNTS_SQL} SELECT area, {sql_build(divisor='three')} AS score FROM counts")
+@register("gap_divisor_three", f"WITH {COUNTS_SQL} SELECT area, {sql_composite(replace(SCORED, divisor=3.0))} AS score FROM counts")
 def gap_divisor_three(spark, d):
-    return counts(spark, d).select("area", sc.build(divisor="three").alias("score"))
+    return counts(spark, d).select("area", sc.composite(sc.Convention(divisor=3.0)).alias("score"))
 
 
-POI_MODES = ("halves", "flat4", "no_ems", "fire")
+@register("gap_poi_modes", f"WITH {COUNTS_SQL} SELECT area, {', '.join(f'{sql_composite(SCORED.like(P, p))} AS {m}' for m, p in POI.items())} FROM counts")
+def gap_poi_modes(spark, d):
+    return _named(counts(spark, d), {m: SCORED.like(P, p) for m, p in POI.items()})
 
 
-@register("gap_poi_modes", f"WITH {COUNTS_SQL} SELECT area, {', '.join(f'{sql_build(poi=m)} AS {m}' for m in POI_MODES)} FROM counts")
-def gap_poi_modes(spark, d):
-    return counts(spark, d).select("area", *(sc.build(poi=m).alias(m) for m in POI_MODES))
+def _named(df: DataFrame, conventions: dict[str, sc.Convention]) -> DataFrame:
+    found = df.select("area", sc.composites(list(conventions.values())).alias("v"))
+    return found.select("area", *(F.col("v")[i].alias(k) for i, k in enumerate(conventions)))
 
 
 def sweep(df: DataFrame, variants=VARIANTS, moved: float = 1e-12) -> DataFrame:
     """Every variant against the scored conventions, in one pass: ``(grp, variant, moved, mean_change, max_change)``."""
-    gaps = sc.GapColumns()
-    base = sc.build(gap_of=gaps)
-    cols = [F.struct(F.lit(g).alias("grp"), F.lit(n).alias("variant"), F.abs(sc.build(**s, gap_of=gaps) - F.col("base")).alias("change")) for g, n, s in variants]
-    each = df.withColumns(gaps.columns).withColumn("base", base).select(F.explode(F.array(*cols)).alias("v")).select("v.*")
+    names = F.array(*(F.struct(F.lit(g).alias("grp"), F.lit(n).alias("variant")) for g, n, _ in variants))
+    each = df.select(sc.composites([SCORED, *(c for _, _, c in variants)]).alias("v")).select(F.posexplode("v").alias("i", "x"), F.col("v")[0].alias("base")).where("i > 0")
+    each = each.select(F.get(names, F.col("i") - 1).alias("n"), F.abs(F.col("x") - F.col("base")).alias("change")).select("n.*", "change")
     return each.groupBy("grp", "variant").agg(F.count_if(F.col("change") > moved).alias("moved"), F.avg("change").alias("mean_change"), F.max("change").alias("max_change"))
 
 
-_CHANGES = " UNION ALL ".join(f"SELECT '{g}' AS grp, '{n}' AS variant, ABS({sql_build(**s)} - {sql_build()}) AS change FROM counts" for g, n, s in VARIANTS)
+_CHANGES = " UNION ALL ".join(f"SELECT '{g}' AS grp, '{n}' AS variant, ABS({sql_composite(c)} - {sql_composite()}) AS change FROM counts" for g, n, c in VARIANTS)
 
 
 def _verdict(threshold: float):
@@ -211,12 +224,12 @@ def component_flags(spark, d):
 
 @register(
     "stratum_ratio",
-    f"""WITH {COUNTS_SQL}, s AS (SELECT *, {sql_build()} AS score FROM counts), m AS (SELECT median(cbp_estab) AS med FROM s)
+    f"""WITH {COUNTS_SQL}, s AS (SELECT *, {sql_composite()} AS score FROM counts), m AS (SELECT median(cbp_estab) AS med FROM s)
  SELECT round(AVG(score) FILTER (cbp_estab > med) / AVG(score) FILTER (cbp_estab <= med), 6) AS ratio_median_split,
  round(AVG(score) FILTER (region IN (0, 1)) / AVG(score) FILTER (region NOT IN (0, 1)), 6) AS ratio_flag FROM s, m""",
 )
 def stratum_ratio(spark, d):
-    s = counts(spark, d).withColumn("score", sc.build())
+    s = counts(spark, d).withColumn("score", sc.composite())
     s = s.join(F.broadcast(s.agg(F.median("cbp_estab").alias("med"))))  # one row
     ratio = lambda t: F.round(F.try_divide(F.avg(F.when(t, F.col("score"))), F.avg(F.when(~t, F.col("score")))), 6)
     return s.agg(ratio(F.col("cbp_estab") > F.col("med")).alias("ratio_median_split"), ratio(F.col("region").isin(0, 1)).alias("ratio_flag"))
@@ -224,13 +237,13 @@ def stratum_ratio(spark, d):
 
 @register(
     "acceptance_window",
-    f"""WITH {COUNTS_SQL}, s AS (SELECT {sql_build()} AS score FROM counts) SELECT round(SUM(CAST(score AS DECIMAL(20, 6)))::DOUBLE, 6) AS total, COUNT(*) AS n,
+    f"""WITH {COUNTS_SQL}, s AS (SELECT {sql_composite()} AS score FROM counts) SELECT round(SUM(CAST(score AS DECIMAL(20, 6)))::DOUBLE, 6) AS total, COUNT(*) AS n,
  SUM(CAST(score AS DECIMAL(20, 6)))::DOUBLE BETWEEN (0.25 - 0.2) * COUNT(*) AND (0.25 + 0.2) * COUNT(*) AS inside FROM s""",
 )
 def acceptance_window(spark, d):
     """Whether the sum lies within n times a published mean and its rounding; summed as decimals, so in any order alike."""
     total = F.sum(F.col("score").cast("decimal(20,6)")).cast("double")
-    return counts(spark, d).select(sc.build().alias("score")).agg(F.round(total, 6).alias("total"), F.count("*").alias("n"), total.between((0.25 - 0.2) * F.count("*"), (0.25 + 0.2) * F.count("*")).alias("inside"))
+    return counts(spark, d).select(sc.composite().alias("score")).agg(F.round(total, 6).alias("total"), F.count("*").alias("n"), total.between((0.25 - 0.2) * F.count("*"), (0.25 + 0.2) * F.count("*")).alias("inside"))
 
 
 @register("attribute_gap", f"WITH {COUNTS_SQL} SELECT region, {sql_round('1 - LEAST(1.0::DOUBLE, SUM(ovt_fire) / NULLIF(SUM(ref_fire), 0))')} AS gap FROM counts GROUP BY 1")
@@ -240,27 +253,25 @@ def attribute_gap(spark, d):
 
 
 GEO_VARIANTS = {
-    "dedup_roads": dict(road=("ovt_road - ovt_road_mid / 10", "tig_road")),
-    "dedup_buildings": dict(bldg=("ovt_bldg - ovt_bldg_parts / 10", "ms_bldg")),
-    "crs_spelling": dict(road=("ovt_road", "tig_road")),
-    "facility_predicate": dict(fac_sfx="_within"),
-    "one_area_place": dict(places="ovt_places_nonnull"),
-    "open_place": dict(places="ovt_places_within"),
-    "point_on_surface": dict(bldg=("ovt_bldg_int", "ms_bldg_int")),
-    "projected_centroid": dict(bldg=("ovt_bldg_bbox", "ms_bldg_bbox")),
+    "dedup_roads": SCORED.like(T, sc.Gap("ovt_road - ovt_road_mid / 10", "tig_road")),
+    "dedup_buildings": SCORED.like(B, sc.Gap("ovt_bldg - ovt_bldg_parts / 10", "ms_bldg")),
+    "crs_spelling": SCORED,
+    "facility_predicate": SCORED.like(P, (sc.facilities("_within"), sc.PLACES)),
+    "one_area_place": SCORED.like(P, (sc.facilities(), sc.Gap("ovt_places_nonnull", "cbp_estab"))),
+    "open_place": SCORED.like(P, (sc.facilities(), sc.Gap("ovt_places_within", "cbp_estab"))),
+    "point_on_surface": SCORED.like(B, sc.Gap("ovt_bldg_int", "ms_bldg_int")),
+    "projected_centroid": SCORED.like(B, sc.Gap("ovt_bldg_bbox", "ms_bldg_bbox")),
 }
 
 
-@register("sweep_geometry_variants", f"WITH {COUNTS_SQL} SELECT area, {', '.join(f'{sql_build(**s)} AS {n}' for n, s in GEO_VARIANTS.items())} FROM counts")
+@register("sweep_geometry_variants", f"WITH {COUNTS_SQL} SELECT area, {', '.join(f'{sql_composite(c)} AS {n}' for n, c in GEO_VARIANTS.items())} FROM counts")
 def sweep_geometry_variants(spark, d):
-    gaps = sc.GapColumns()
-    cols = [sc.build(**s, gap_of=gaps).alias(n) for n, s in GEO_VARIANTS.items()]
-    return counts(spark, d).withColumns(gaps.columns).select("area", *cols)
+    return _named(counts(spark, d), GEO_VARIANTS)
 
 
-@register("fixed_width_report", f"WITH {COUNTS_SQL}, s AS (SELECT CAST(area AS VARCHAR) AS a, printf('%.6f', {sql_build()}) AS v FROM counts), w AS (SELECT MAX(length(a)) AS wa, MAX(length(v)) AS wv FROM s) SELECT rpad(a, wa::INTEGER, ' ') || '  ' || lpad(v, wv::INTEGER, ' ') AS line FROM s, w")
+@register("fixed_width_report", f"WITH {COUNTS_SQL}, s AS (SELECT CAST(area AS VARCHAR) AS a, printf('%.6f', {sql_composite()}) AS v FROM counts), w AS (SELECT MAX(length(a)) AS wa, MAX(length(v)) AS wv FROM s) SELECT rpad(a, wa::INTEGER, ' ') || '  ' || lpad(v, wv::INTEGER, ' ') AS line FROM s, w")
 def fixed_width_report(spark, d):
     """Text columns as wide as their longest value."""
-    s = counts(spark, d).select(F.col("area").cast("string").alias("a"), F.format_string("%.6f", sc.build()).alias("v"))
+    s = counts(spark, d).select(F.col("area").cast("string").alias("a"), F.format_string("%.6f", sc.composite()).alias("v"))
     w = s.agg(F.max(F.length("a")).alias("wa"), F.max(F.length("v")).alias("wv"))
     return s.join(F.broadcast(w)).select(F.concat(F.expr("rpad(a, wa, ' ')"), F.lit("  "), F.expr("lpad(v, wv, ' ')")).alias("line"))  # one row
