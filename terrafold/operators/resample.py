@@ -7,52 +7,64 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Draws of one task.
-BLOCK = 500
+#: Units of one part, about, and parts times blocks of draws at least, so that few units still make several tasks.
+PART_UNITS = 100_000
+LEAST_TASKS = 16
 
 
-def _blocks(df: DataFrame, draws: int) -> DataFrame:
-    starts = list(range(0, draws, BLOCK))
-    return df.sparkSession.createDataFrame([(a, min(BLOCK, draws - a)) for a in starts], "first int, n int").repartition(len(starts))
+def _parts(units: DataFrame) -> tuple[DataFrame, list[int]]:
+    """The units dealt into parts by a hash of their row, and the size of each part: one number a part for the driver."""
+    n = units.count()
+    parts = max(1, -(-n // PART_UNITS))
+    dealt = units.withColumn("part", F.pmod(F.xxhash64(*units.columns), F.lit(parts)).cast("int"))
+    sizes = {r.part: r["count"] for r in dealt.groupBy("part").count().collect()}
+    return dealt, [sizes.get(k, 0) for k in range(parts)]
 
 
-def ratio_bootstrap(units: DataFrame, num: str, den: str, draws: int = 10_000, seed: int = 20260926, most_units: int = 2_000_000) -> DataFrame:
-    """``(draw, value)``: ratio of sums over units drawn with replacement.
+def _by_part(dealt: DataFrame, parts: int, draws: int) -> DataFrame:
+    """Each part beside each block of draws ``first <= draw < last``; the blocks change the tasks only, never a draw."""
+    blocks = -(-LEAST_TASKS // parts)
+    each = -(-draws // blocks)
+    starts = F.array(*(F.struct(F.lit(a).alias("first"), F.lit(min(draws, a + each)).alias("last")) for a in range(0, draws, each)))
+    return dealt.select("*", F.inline(starts)).groupBy("part", "first")
 
-    ``units`` has one row per cluster, pre-aggregated: their number, areas or users, is checked
-    against ``most_units`` before they are sent to the tasks that draw. Beyond it the draws are
-    Poisson weights hashed from (draw, unit), a distributed aggregate without any broadcast.
+
+def ratio_bootstrap(units: DataFrame, num: str, den: str, draws: int = 10_000, seed: int = 20260926, most_units: int | None = None) -> DataFrame:
+    """``(draw, value)``: ratio of sums over units drawn with replacement, as many as there are; null where the divisor is 0.
+
+    ``units`` has one row per cluster, pre-aggregated. They are dealt into parts by a hash of their row. Every draw first
+    deals its number over the parts (multinomial, the same in each task, from the draw's own seed), then each part draws that many of its
+    own units and sends one pair of sums: together one draw with replacement from all units. No unit reaches the driver, nothing is
+    broadcast, and every number of units takes this way. Units of equal values are exchangeable, so no key is needed.
+    A null counts as 0. ``most_units`` is accepted for earlier callers and has no effect.
     """
-    if units.count() > most_units:
-        return _poisson_bootstrap(units, num, den, draws, seed)
-    data = units.select(F.col(num).cast("double").alias("a"), F.col(den).cast("double").alias("b")).orderBy("a", "b").toPandas().to_numpy()
-    shared = units.sparkSession.sparkContext.broadcast(data)
-
-    def run(parts):
-        a = shared.value
-        for part in parts:
-            for first, n in zip(part["first"], part["n"]):
-                r = np.random.default_rng([seed, int(first)])
-                out = []
-                for _ in range(int(n)):
-                    s = a[r.integers(0, len(a), len(a))].sum(0) if len(a) else np.array([0.0, 0.0])
-                    out.append(s[0] / s[1] if s[1] else None)
-                yield pd.DataFrame({"draw": np.arange(first, first + n), "value": pd.array(out, dtype="Float64")})
-
-    return _blocks(units, draws).mapInPandas(run, "draw int, value double")
-
-
-def _poisson_bootstrap(units: DataFrame, num: str, den: str, draws: int, seed: int) -> DataFrame:
-    keyed = units.select(F.col(num).cast("double").alias("a"), F.col(den).cast("double").alias("b"), F.xxhash64(*units.columns).alias("k"))
-    each = keyed.select("a", "b", "k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", "k"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    weight, cumulative, term = F.lit(0), 0.0, float(np.exp(-1))
-    for k in range(12):  # Poisson(1) by its distribution function
-        cumulative += term
-        weight = weight + F.when(u > cumulative, 1).otherwise(0)
-        term /= k + 1
-    drawn = each.withColumn("w", weight).groupBy("draw").agg(F.sum(F.col("a") * F.col("w")).alias("a"), F.sum(F.col("b") * F.col("w")).alias("b"))
-    return drawn.select("draw", F.try_divide("a", "b").alias("value"))
+    data = units.select(F.coalesce(F.col(num).cast("double"), F.lit(0.0)).alias("a"), F.coalesce(F.col(den).cast("double"), F.lit(0.0)).alias("b"))
+    dealt, sizes = _parts(data)
+    share = np.array(sizes) / max(1, sum(sizes))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows[["a", "b"]].sort_values(["a", "b"]).to_numpy()
+        part, first, last = (int(rows[c].iloc[0]) for c in ("part", "first", "last"))
+        out = np.empty((last - first, 2))
+        for k, draw in enumerate(range(first, last)):
+            number = np.random.default_rng([seed, draw]).multinomial(sum(sizes), share)[part]
+            out[k] = own[np.random.default_rng([seed, draw, part]).integers(0, len(own), number)].sum(0)
+        return pd.DataFrame({"draw": np.arange(first, last), "a": out[:, 0], "b": out[:, 1]})
+
+    drawn = _by_part(dealt, len(sizes), draws).applyInPandas(run, "draw int, a double, b double")
+    sums = drawn.groupBy("draw").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    every = units.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw"))
+    return every.join(sums, "draw", "left").select("draw", F.try_divide("a", "b").alias("value"))
+
+
+def stratified_bootstrap(units: DataFrame, stratum: str, value: str, totals: dict, draws: int = 10_000, seed: int = 20260926) -> DataFrame:
+    """``(draw, value)``: the strata's means under their ``totals``, each stratum's units drawn with replacement within it."""
+    out = None
+    for k, (name, total) in enumerate(sorted(totals.items())):  # one term a stratum, a short list by nature
+        own = units.where(F.col(stratum) == F.lit(name)).select(F.col(value).alias("v"), F.lit(1).alias("n"))
+        drawn = ratio_bootstrap(own, "v", "n", draws, seed + k).select("draw", (F.col("value") * F.lit(float(total))).alias("value"))
+        out = drawn if out is None else out.union(drawn)
+    return out.groupBy("draw").agg(F.sum("value").alias("value"))
 
 
 def interval(draws: DataFrame, above: float | None = None) -> DataFrame:
@@ -63,27 +75,33 @@ def interval(draws: DataFrame, above: float | None = None) -> DataFrame:
 
 
 def permutation_p(units: DataFrame, value: str, group: str, draws: int = 10_000, seed: int = 20260926) -> DataFrame:
-    """One row ``(observed, p)``: one-sided, mean of the group minus the rest, p = (1 + k) / (1 + draws)."""
-    data = units.select(F.col(value).cast("double").alias("v"), F.col(group).cast("boolean").alias("g")).orderBy("v", "g").toPandas()
-    v, n = data["v"].to_numpy(), int(data["g"].sum())
-    observed = float(v[data["g"].to_numpy(bool)].mean() - v[~data["g"].to_numpy(bool)].mean()) if 0 < n < len(v) else None
-    shared = units.sparkSession.sparkContext.broadcast(v)
-
-    def run(parts):
-        x = shared.value
-        for part in parts:
-            for first, m in zip(part["first"], part["n"]):
-                r = np.random.default_rng([seed, int(first)])
-                k = 0
-                for _ in range(int(m)):
-                    s = r.permutation(x)
-                    k += s[:n].mean() - s[n:].mean() >= observed - 1e-15
-                yield pd.DataFrame({"k": [int(k)]})
-
-    if observed is None:
+    """One row ``(observed, p)``: one-sided, mean of the group minus the rest, p = (1 + k) / (1 + draws).
+
+    A draw deals the group's size over the parts of the units (multivariate hypergeometric, the same in each task), and each
+    part picks so many of its own without replacement: together one relabelling of all units. Only sums move. Units without a value
+    are left out; nulls where either side is empty.
+    """
+    data = units.select(F.col(value).cast("double").alias("v"), F.coalesce(F.col(group).cast("boolean"), F.lit(False)).alias("g")).where("v is not null")
+    dealt, sizes = _parts(data)
+    total = data.agg(F.count("*").alias("n"), F.count_if("g").alias("k"), F.sum("v").alias("v"), F.sum(F.when(F.col("g"), F.col("v"))).alias("g")).first()
+    n, k = total["n"], total["k"]
+    if not 0 < k < n:
         return units.sparkSession.createDataFrame([(None, None)], "observed double, p double")
-    counted = _blocks(units, draws).mapInPandas(run, "k long")
-    return counted.agg(F.lit(observed).alias("observed"), ((1 + F.sum("k")) / (1 + draws)).alias("p"))
+    observed = total["g"] / k - (total["v"] - total["g"]) / (n - k)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.sort(rows["v"].to_numpy())
+        part, first, last = (int(rows[c].iloc[0]) for c in ("part", "first", "last"))
+        sums = np.empty(last - first)
+        for i, draw in enumerate(range(first, last)):
+            number = np.random.default_rng([seed, draw]).multivariate_hypergeometric(sizes, k, method="marginals")[part]
+            sums[i] = np.random.default_rng([seed, draw, part]).permutation(own)[:number].sum()
+        return pd.DataFrame({"draw": np.arange(first, last), "g": sums})
+
+    drawn = _by_part(dealt, len(sizes), draws).applyInPandas(run, "draw int, g double").groupBy("draw").agg(F.sum("g").alias("g"))
+    mean = F.col("g") / k - (F.lit(total["v"]) - F.col("g")) / (n - k)
+    as_much = mean >= observed - 1e-12 * (1 + abs(observed))
+    return drawn.agg(F.lit(observed).alias("observed"), ((1 + F.count_if(as_much)) / F.lit(1 + draws)).alias("p"))
 
 
 def post_stratified(sample: DataFrame, totals: DataFrame, stratum: str, success: Column, weight: str) -> DataFrame:
