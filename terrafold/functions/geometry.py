@@ -101,6 +101,12 @@ def touches(p: Column, rings: Column | str) -> Column:
     return on_boundary(p, rings)
 
 
+def point_polygon(p: Column, rings: Column | str) -> Column:
+    """Distance of a point to a polygon, 0 inside or on its boundary."""
+    nearest = F.array_min(F.transform(ring_pieces(rings), lambda s: point_piece(p, s["a"], s["b"])))
+    return F.when(ray_inside(p, rings), F.lit(0.0)).otherwise(nearest)
+
+
 def ring_area(ring: Column) -> Column:
     return total(F.transform(pieces(ring), lambda s: s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"])) / 2
 

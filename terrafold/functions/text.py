@@ -99,14 +99,25 @@ def same_road(a: Column | str, name: Column | str, refs: Column | str) -> Column
     return F.when(~unnamed(a), F.exists(names, agrees))
 
 
+# The forms of a free description that name a road, in the order they are tried, and what names none.
+DESCRIPTIONS = (
+    r"(?i)^LWC\s*-\s*(.+)$",
+    r"(?i)^LWC\s+(?:PRIMARY|SECONDARY)\s+ROAD\s*,\s*[^,]*,\s*(.+)$",
+    r"(?i)^LWC\s+BRIDGE CLASS\s*,.*?\bAT\s+(.+?)(?:\s+\d+(?:\.\d+)?\s*MI\b.*)?$",
+)
+NO_ROAD = r"(?i)^LWC|^(?:BRIDGE|CULVERT)$"
+BEFORE_STREAM = r"(?i)\s+(?:at|@)\s+|@|\s-\s|-\s"
+
+
 def inventory_road(description: Column | str) -> Column:
-    """The road in a free description: after ``LWC -`` or ``Low Water Crossing at``, else what stands before an @, " at " or a dash, without brackets and house number."""
-    s = F.trim(as_col(description))
-    marked = F.nullif(F.regexp_extract(s, r"(?i)^(?:LWC|low[\s-]*water[\s-]*crossing)\s*(?:-|:|at|on)\s*(.+)$", 1), F.lit(""))
-    head = F.element_at(F.split(F.coalesce(marked, s), r"(?i)\s+at\s+|\s*@\s*|\s+-\s+"), 1)
-    bare = F.regexp_replace(F.regexp_replace(head, r"\([^)]*\)", " "), r"^\s*\d+\s+(?=\D)", "")
-    tidy = F.trim(F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"[.,\s]+$", ""))
-    return F.nullif(tidy, F.lit(""))
+    """The road in a free description: by the first of ``DESCRIPTIONS`` that fits, whole; null where it is marked as a crossing or structure in
+    another way; else what stands before an "at", an @ or a dash, without house number, brackets and dots at the ends."""
+    s = F.trim(F.regexp_replace(as_col(description), r"\s+", " "))
+    named = [F.nullif(F.trim(F.regexp_extract(s, p, 1)), F.lit("")) for p in DESCRIPTIONS]
+    head = F.element_at(F.split(s, BEFORE_STREAM), 1)
+    bare = F.regexp_replace(F.regexp_replace(head, r"^\d+\s+", ""), r"\(.*?\)", "")
+    free = F.nullif(F.regexp_replace(bare, r"^[ .]+|[ .]+$", ""), F.lit(""))
+    return F.coalesce(*named, F.when(~s.rlike(NO_ROAD), free))
 
 
 # The search terms. (?i:...) keeps the parts that ignore case apart from those that don't.
@@ -164,11 +175,27 @@ def sentences(c: Column | str) -> Column:
     """Sentences of a text: abbreviations and decimals don't end one, a bar does."""
     s = F.regexp_replace(F.coalesce(as_col(c), F.lit("")), ABBREVIATIONS, "$1\u0001")
     s = F.regexp_replace(s, r"(?<=\d)\.(?=\d)", "\u0002")
-    parts = F.split(s, r"(?<=[.!?])\s+|\s*\|\s*|(?<=[a-z]{2}\.)(?=[A-Z])")
+    parts = F.split(s, SENTENCE_END)
     back = lambda x: F.trim(F.replace(F.replace(x, F.lit("\u0001"), F.lit(".")), F.lit("\u0002"), F.lit(".")))
     return F.filter(F.transform(parts, back), lambda x: x != "")
 
 
+SENTENCE_END = r"(?<=[.!?])\s+|\s*\|\s*|(?<=[a-z]{2}\.)(?=[A-Z])"
+
+
+def sentence_spans(c: Column | str) -> Column:
+    """Sentences with their places, ``array<struct<start, stop, sentence>>``: code points from 0, the end exclusive, around the text as it stands there."""
+    text = F.coalesce(as_col(c), F.lit(""))
+    s = F.regexp_replace(F.regexp_replace(text, ABBREVIATIONS, "$1\u0001"), r"(?<=\d)\.(?=\d)", "\u0002")
+    parts, ends = F.split(s, SENTENCE_END), F.regexp_extract_all(s, F.lit(SENTENCE_END), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    sizes = F.zip_with(parts, ends, lambda p, e: F.length(p) + F.coalesce(F.length(e), F.lit(0)))
+    starts = F.aggregate(sizes, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
+    back = lambda x: F.trim(F.replace(F.replace(x, F.lit("\u0001"), F.lit(".")), F.lit("\u0002"), F.lit(".")))
+    spans = F.zip_with(parts, starts, lambda p, a: F.struct(a.alias("start"), (a + F.length(p)).alias("stop"), back(p).alias("sentence")))
+    return F.filter(spans, lambda x: x["sentence"] != "")
+
+
 def excerpt(sentence: Column | str, offset: Column | int = 0, most: int = 25) -> Column:
     """At most ``most`` words of a sentence, centred on the word at a character offset, with dots where it was cut."""
     s = F.trim(as_col(sentence))

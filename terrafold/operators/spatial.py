@@ -46,21 +46,29 @@ def nearest(a: DataFrame, b: DataFrame, r: float, a_id: str, b_id: str, ties: bo
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def nearest_unbounded(a: DataFrame, b: DataFrame, first: float, a_id: str, b_id: str, rings: int = 24, **xy) -> DataFrame:
-    """The nearest point however far: rings of doubling radius, each for the points that have none yet.
+def nearest_unbounded(a: DataFrame, b: DataFrame, first: float, a_id: str, b_id: str, where: str = "true", ax: str = "x", ay: str = "y", bx: str = "x2", by: str = "y2") -> DataFrame:
+    """``(a_id, b_id, dist)``: the nearest point of ``b`` however far, among the pairs ``where`` holds; by distance, then id.
 
-    The last ring's radius is ``first * 2 ** rings``; a point with nothing in it is left out. Each ring
-    is written out, so that the plan stays that of one ring.
+    Rings of doubling radius, each for the points that have none yet, until all are served or the ring spans both tables, which
+    leaves out only points without coordinates or without any partner. A ring's pairs are reduced to the best per point before
+    they are shuffled: a late ring has cells as wide as the data, but few points wait for it and each task sends one row for
+    each. Each ring is written out, so that the plan stays that of one ring.
     """
+    sides = (a.select(F.col(ax).alias("x"), F.col(ay).alias("y")), b.select(F.col(bx).alias("x"), F.col(by).alias("y")))
+    box = sides[0].union(sides[1]).agg(*(f(c).alias(f"{n}{c}") for c in "xy" for f, n in ((F.min, "lo"), (F.max, "hi")))).first()
+    span = 0.0 if None in box else math.hypot(box["hix"] - box["lox"], box["hiy"] - box["loy"])
     out, left, r = None, a, first
-    for _ in range(rings):
-        found = materialize(nearest(left, b, r, a_id, b_id, **xy).drop("rank"), "ring")
+    while True:
+        near = distance_join(left, b, r, ax, ay, bx, by).where(where)
+        best = near.groupBy(a_id).agg(F.min(F.struct("dist", b_id)).alias("_n")).select(a_id, f"_n.{b_id}", "_n.dist")
+        found = materialize(best, "ring")
         out = found if out is None else out.unionByName(found)
+        if r > span:
+            return out
         left = materialize(left.join(found.select(a_id), a_id, "left_anti"), "left")
         if left.isEmpty():
-            break
+            return out
         r *= 2
-    return out
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, x: str = "x", y: str = "y", rings: str = "rings", predicate: str = "within") -> DataFrame:
