@@ -317,3 +317,44 @@ def inverse_albers(x: Column | str, y: Column | str, code: str = "5070", rounds:
 
     lat = F.aggregate(steps, lat, step)
     return F.struct((l0 + F.degrees(F.atan2(dx, dy)) / n).alias("lon"), F.degrees(lat).alias("lat"))
+
+
+# --- tiles and pairs -------------------------------------------------------------------------------------------------
+
+
+def closest_points(one: Column | str, two: Column | str) -> Column:
+    """``struct<d, p, q>``: the distance of two lines, and where on each they come that near; ends are tried against pieces, crossings have distance 0."""
+    a, b = pieces(as_col(one)), pieces(as_col(two))
+
+    def on(p: Column, s: Column) -> Column:
+        t = project(p, s["a"], s["b"])
+        return F.struct((s["a"]["x"] + t * (s["b"]["x"] - s["a"]["x"])).alias("x"), (s["a"]["y"] + t * (s["b"]["y"] - s["a"]["y"])).alias("y"))
+
+    def pair(p: Column, q: Column) -> Column:
+        return F.struct(F.hypot(p["x"] - q["x"], p["y"] - q["y"]).alias("d"), p.alias("p"), q.alias("q"))
+
+    def meeting(s: Column, r: Column) -> Column:
+        dx, dy, ex, ey = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"], r["b"]["x"] - r["a"]["x"], r["b"]["y"] - r["a"]["y"]
+        t = F.try_divide((r["a"]["x"] - s["a"]["x"]) * ey - (r["a"]["y"] - s["a"]["y"]) * ex, dx * ey - dy * ex)
+        p = F.struct((s["a"]["x"] + t * dx).alias("x"), (s["a"]["y"] + t * dy).alias("y"))
+        return F.when(pieces_cross(s["a"], s["b"], r["a"], r["b"]), F.struct(F.lit(ZERO).alias("d"), p.alias("p"), p.alias("q")))
+
+    def of(s: Column, r: Column) -> Column:
+        ends = [pair(s[k], on(s[k], r)) for k in "ab"] + [pair(on(r[k], s), r[k]) for k in "ab"]
+        return F.array(*ends, meeting(s, r))
+
+    found = F.flatten(F.transform(a, lambda s: F.flatten(F.transform(b, lambda r: of(s, r)))))
+    return F.array_min(F.filter(found, lambda x: x.isNotNull()))
+
+
+def square_tiles(box: Column | str, size: float, margin: float = 0.0) -> Column:
+    """Squares of ``size`` over a box with a margin, ``array<struct<cx, cy, xmin, xmax, ymin, ymax>>``, from its lower left corner."""
+    b = as_col(box)
+    n = lambda lo, hi: F.greatest(F.lit(1), F.ceil((b[hi] - b[lo] + 2 * margin) / size)).cast("int")
+
+    def tile(i: Column, j: Column) -> Column:
+        x, y = b["xmin"] - margin + i * size, b["ymin"] - margin + j * size
+        return F.struct(i.alias("cx"), j.alias("cy"), x.alias("xmin"), (x + size).alias("xmax"), y.alias("ymin"), (y + size).alias("ymax"))
+
+    xs, ys = F.sequence(F.lit(0), n("xmin", "xmax") - 1), F.sequence(F.lit(0), n("ymin", "ymax") - 1)
+    return F.flatten(F.transform(xs, lambda i: F.transform(ys, lambda j: tile(i, j))))

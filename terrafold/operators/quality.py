@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,11 @@ def assert_same(one: DataFrame, two: DataFrame, what: str) -> None:
     n = one.exceptAll(two).limit(1).count() + two.exceptAll(one).limit(1).count()
     if n:
         raise AssertionError(f"{what}: the recomputed table differs")
+
+
+def same_bits(one: Column, two: Column) -> Column:
+    """Whether two doubles are the same number bit for bit: -0 is not 0, a NaN is itself, a null is a null.
+
+    The decimal form of a double is one to one but for NaNs, which count as one.
+    """
+    return one.cast("double").cast("string").eqNullSafe(two.cast("double").cast("string"))

@@ -89,7 +89,8 @@ class PagedSource(DataSource):
     """A service that tells its count and answers pages, as a Spark source: one partition a page.
 
     Options: ``fetch``, an importable ``module:function`` called as ``fetch(offset, limit) -> rows`` and ``fetch(None, None) -> count``;
-    ``schema``; ``page`` (rows a page, 1000); ``retries`` (5).
+    ``schema``; ``page`` (rows a page, 1000); ``retries`` (5); ``envelope`` (xmin,ymin,xmax,ymax), which the service applies: it is then
+    called as ``fetch(offset, limit, envelope)``.
     """
 
     @classmethod
@@ -120,6 +121,8 @@ class PagedReader(DataSourceReader):
         return getattr(importlib.import_module(module), name)
 
     def _again(self, *args):
+        if box := self.options.get("envelope"):
+            args = (*args, tuple(map(float, box.split(","))))
         for left in range(int(self.options.get("retries", 5)) - 1, -1, -1):
             try:
                 return self._fetch()(*args)
