@@ -176,11 +176,72 @@ def linked_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tupl
     return out
 
 
+SHAPE = 2.0  # a token that looks like a kind
+
+
+def shape(token: str) -> list[float]:
+    """Log-potentials of a token's look for each of ``KINDS``."""
+    core = token.strip(EDGE)
+    digits, letters = len(DIGITS.findall(core)), any(c.isalpha() for c in core)
+    looks = ("@" in core or HANDLE_SHAPE.fullmatch(core), re.fullmatch(r"[0-9]+(?:\.[0-9]+)+", core), digits >= 13, 6 <= digits < 13 and not letters)
+    return [SHAPE if x else 0.0 for x in looks]
+
+
+def _agreeing(log: list[float], coupling: float) -> list[float]:
+    """Log-message over an edge that favours equal labels, largest entry 0."""
+    top = max(log)
+    weight = [math.exp(x - top) for x in log]
+    total, more = sum(weight), math.expm1(coupling)
+    out = [math.log(total + more * w) for w in weight]
+    return [x - max(out) for x in out]
+
+
+def linked_kinds(text: str, base: dict[str, list[tuple[int, int]]], added: list[tuple[int, int]]) -> list[str]:
+    """The kind of each added span: the most probable label under a second field over the personal tokens.
+
+    Labels are ``KINDS``. A token in a pattern's span is held to its kind, an added one has its look; the similar tokens of a form
+    share potentials for equal labels through a hub, and loopy messages carry a kind from token to token, also through forms that two
+    tokens share only by way of a third. Of equal labels the first of ``KINDS`` stands.
+    """
+    if not added:
+        return []
+    spans = sorted((a, b, k) for k, own in enumerate(base.values()) for a, b in own)
+    nodes: list[tuple[str, list[float]]] = []
+    for m in CANDIDATE.finditer(text):
+        kind = next((k for a, b, k in spans if a < m.end() and m.start() < b), None)
+        if kind is not None:
+            nodes.append((m[0], [CLAMP if k == kind else 0.0 for k in range(len(KINDS))]))
+    first = len(nodes)
+    nodes += [(text[a:b], shape(text[a:b])) for a, b in added]
+    hubs = defaultdict(list)
+    for n, (token, _) in enumerate(nodes):
+        for key in similar(token):
+            hubs[key].append(n)
+    groups = [g for g in hubs.values() if len(g) > 1]
+    none = [0.0] * len(KINDS)
+    got = [[none] * len(g) for g in groups]
+
+    def beliefs() -> list[list[float]]:
+        out = [own[:] for _, own in nodes]
+        for g, messages in zip(groups, got):
+            for n, message_ in zip(g, messages):
+                out[n] = [x + y for x, y in zip(out[n], message_)]
+        return out
+
+    for _ in range(ROUNDS):
+        now = beliefs()
+        for i, g in enumerate(groups):
+            sent = [_agreeing([x - y for x, y in zip(now[n], m)], SKIP) for n, m in zip(g, got[i])]
+            total = [sum(x) for x in zip(*sent)]
+            got[i] = [_agreeing([x - y for x, y in zip(total, s)], SKIP) for s in sent]
+    return [KINDS[max(range(len(KINDS)), key=own.__getitem__)] for own in beliefs()[first:]]
+
+
 def _joined(spans: dict[str, list[tuple[int, int]]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, own in spans.items() for a, b in own)
 
 
-FOUND = [*(f"n_{k}" for k in KINDS), "n_linked", "base_sha256", "spans", "clean"]
+FOUND = [*(f"n_{k}" for k in KINDS), "n_linked", "base_sha256", "spans", "linked_kinds", "clean"]
 
 
 def redact(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
@@ -201,10 +262,12 @@ def _scan(keep_text: bool):
             for text, given in zip(texts(batch), batch.column("text").is_valid().to_pylist()):
                 base = base_spans(text)
                 added = linked_spans(text, base)
+                kinds = linked_kinds(text, base, added)
                 every = base | {LINKED: added}
                 digest = hashlib.sha256(_joined(base).encode()).hexdigest()
-                clean = (redact(text, every) if any(every.values()) else text) if keep_text and given else None
-                rows.append((*(len(base[k]) for k in KINDS), len(added), digest, _joined(every), clean))
+                marked = {k: sorted([*base[k], *(s for s, own in zip(added, kinds) if own == k)]) for k in KINDS} if added else base
+                clean = (redact(text, marked) if any(every.values()) else text) if keep_text and given else None
+                rows.append((*(len(base[k]) for k in KINDS), len(added), digest, _joined(every), ",".join(kinds), clean))
             cols = zip(FOUND, zip(*rows))
             arrays = [pa.array(c, pa.int64() if n[:2] == "n_" else pa.string()) for n, c in cols]
             yield pa.RecordBatch.from_arrays([*batch.columns[:1], *arrays], ["id", *FOUND])
@@ -213,10 +276,11 @@ def _scan(keep_text: bool):
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``(id_col, n_email, n_ip, n_card, n_phone, n_linked, base_sha256, spans, clean)`` per row.
+    """``(id_col, n_email, n_ip, n_card, n_phone, n_linked, base_sha256, spans, linked_kinds, clean)`` per row.
 
-    ``spans`` lists ``kind:start:end`` (code points, end exclusive) by kind, then start, the
-    field's own kind last; ``clean`` is the text with the spans redacted (left out unless ``keep_text``). One pass, no shuffle.
+    ``spans`` lists ``kind:start:end`` (code points, end exclusive) by kind, then start, the spans that the field added last, as ``linked``;
+    ``linked_kinds`` names the kind that each of those is, in their order; ``clean`` is the text with every span replaced by its kind (left
+    out unless ``keep_text``). One pass, no shuffle.
     Cases: a null text has no spans and a null ``clean``; an empty one likewise, with an empty
     ``clean``; null ids and repeated rows stay as they are; equal spans of two kinds are listed under
     both; an empty table gives an empty result; other columns are ignored.
