@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,8 @@ def tokenizer(vocabulary: str = "byte_bpe_50k"):
     with open(public.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     quick = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow = Tokenizer.from_file(public.path(f"{vocabulary}.json"))
-    return lambda text: slow.encode(text, add_special_tokens=False).ids if SPECIAL in text else quick.encode_ordinary(text)
+    slow = cache(lambda: Tokenizer.from_file(public.path(f"{vocabulary}.json")))  # some 100 MB, for few texts
+    return lambda text: slow().encode(text, add_special_tokens=False).ids if SPECIAL in text else quick.encode_ordinary(text)
 
 
 def cut(n: int, most: int) -> list[tuple[int, int]]:
