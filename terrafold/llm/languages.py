@@ -42,8 +42,8 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts by language, one row each for a few MB of text."""
-    for batch in chunks(batches, most_bytes=8 << 20):
+    """Trigram counts by language, one row each for 2 MB of text: a trigram takes 8 bytes, and as many again while they are counted."""
+    for batch in chunks(batches, most_bytes=2 << 20):
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         own = texts(batch)
         for lang in sorted(set(langs)):
