@@ -105,8 +105,8 @@ def weighted_mean_filled(df: DataFrame, value: str, weight: str) -> DataFrame:
 
 
 def sampled(df: DataFrame, strata: Sequence[str], key: str, n: int, seed: int) -> DataFrame:
-    """Per stratum ``n`` rows by the order of a seeded hash of their key: the same rows however the table is split."""
-    w = Window.partitionBy(*strata).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    """Per stratum ``n`` rows by the order of a seeded digest of their key: the same rows however the table is split, here and in SQL."""
+    w = Window.partitionBy(*strata).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 

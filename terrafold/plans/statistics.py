@@ -104,7 +104,7 @@ def poisson_ratio(spark, d):
     return spark.createDataFrame([tuple(float(x) for x in out)], "ratio double, low double, high double")
 
 
-@register("stratified_sample")
+@register("stratified_sample", "SELECT c_custkey, c_mktsegment FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('20260926:' || c_custkey), c_custkey) <= 10")
 def stratified_sample(spark, d):
-    """Ten customers of each segment by a seeded hash."""
+    """Ten customers of each segment by a seeded digest."""
     return rel.sampled(t(spark, d, "customer"), ["c_mktsegment"], "c_custkey", 10, 20260926).select("c_custkey", "c_mktsegment")
