@@ -7,16 +7,32 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 from terrafold.operators.graph import components
 from terrafold.operators.tables import discard, materialize, table
 
-__all__ = ["chunks", "components", "discard", "materialize", "spread", "table", "text_bytes", "texts", "union_roots"]
+__all__ = ["bounded_batches", "chunks", "components", "discard", "materialize", "spread", "table", "text_bytes", "texts", "union_roots"]
 
 #: Links to lower members that one member of a group has at most, in what :func:`spread` makes of the group.
 FAN = 32
 
 
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Let the session send Arrow batches of at most about ``BATCH_BYTES``, whatever a row holds; a smaller bound of its own stays.
+
+    A batch is held by Spark, by the transfer and by Python at once, in each task; the default bound is by rows, whatever their texts' size.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = conf.get(name, None)
+    if given is None or not given.rstrip("bB").isdigit() or not 0 < int(given.rstrip("bB")) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into pieces with about ``most_bytes`` of text each, one row at least."""
     for batch in batches:

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import chunks, materialize, text_bytes
+from terrafold.llm.common import bounded_batches, chunks, materialize, text_bytes
 
 #: Word bytes keep their place, A-Z becomes a-z, every other ASCII byte parts words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -206,6 +206,7 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     judged one by one, repeated items count once; an item with a null id counts as hit but can't be named in ``items``;
     columns beyond those named are ignored.
     """
+    bounded_batches(docs)
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import chunks, texts
+from terrafold.llm.common import bounded_batches, chunks, texts
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -160,6 +160,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     labelled text; ties go to the language that sorts first; null ids and repeated rows stay as they are; an
     empty table gives an empty result; other columns are ignored. Whole texts are read, in one pass and without a shuffle.
     """
+    bounded_batches(docs)
     plain = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import chunks, materialize, texts
+from terrafold.llm.common import bounded_batches, chunks, materialize, texts
 
 END = 2
 SPECIAL = "<|endoftext|>"
@@ -147,6 +147,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits
     empty text is the end token alone; repeated rows and null ids are packed like others, one piece
     set per row; an empty table packs nothing; other columns are ignored.
     """
+    bounded_batches(docs)
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = plain.schema["id"].dataType.simpleString()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import chunks, texts
+from terrafold.llm.common import bounded_batches, chunks, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of the spans that the field adds.
@@ -285,6 +285,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     ``clean``; null ids and repeated rows stay as they are; equal spans of two kinds are listed under
     both; an empty table gives an empty result; other columns are ignored.
     """
+    bounded_batches(docs)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = plain.schema["id"].dataType.simpleString()
     types = ", ".join(f"{n} {'long' if n[:2] == 'n_' else 'string'}" for n in FOUND)

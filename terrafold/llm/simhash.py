@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import chunks, components, materialize, spread, text_bytes, union_roots
+from terrafold.llm.common import bounded_batches, chunks, components, materialize, spread, text_bytes, union_roots
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
@@ -168,6 +168,7 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of repeated rows of one id all are ``kept`` alike; an empty table gives an empty result; other columns
     of ``docs`` are ignored whatever their names.
     """
+    bounded_batches(docs)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = plain.schema["id"].dataType.simpleString()
     marked = materialize(plain.mapInArrow(_fingerprints(width), f"id {id_type}, fp long"), "fingerprints")
