@@ -255,13 +255,15 @@ def any_all(spark, d):
 _NULLS = "NULLIF(l_returnflag, 'N') AS flag, CASE WHEN l_quantity > 20 THEN l_quantity END AS qty, CASE WHEN l_discount > 0.04 THEN l_discount END AS disc"
 
 
-def _nulls(spark, d):
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.nullif("l_returnflag", F.lit("N")).alias("flag"), F.when(F.col("l_quantity") > 20, F.col("l_quantity")).alias("qty"), F.when(F.col("l_discount") > 0.04, F.col("l_discount")).alias("disc"))
+def _null_columns():
+    return ["l_orderkey", "l_linenumber", "l_extendedprice", F.nullif("l_returnflag", F.lit("N")).alias("flag"), F.when(F.col("l_quantity") > 20, F.col("l_quantity")).alias("qty"), F.when(F.col("l_discount") > 0.04, F.col("l_discount")).alias("disc")]
 
 
 @register("first_non_null_columns", f"SELECT l_orderkey, {', '.join(f'arg_min({c}, (l_linenumber, l_extendedprice)) FILTER ({c} IS NOT NULL) AS {c}' for c in ('flag', 'qty', 'disc'))} FROM (SELECT l_orderkey, l_linenumber, l_extendedprice, {_NULLS} FROM lineitem) GROUP BY 1")
 def first_non_null_columns(spark, d):
-    return rel.first_non_null(_nulls(spark, d), "l_orderkey", ["l_linenumber", "l_extendedprice"], ["flag", "qty", "disc"])
+    """Of lines that tie in number and price the first as stored, as in the SQL run by one thread; with more threads its own pick varies."""
+    lines = t(spark, d, "lineitem").select(*_null_columns(), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return rel.first_non_null(lines, "l_orderkey", ["l_linenumber", "l_extendedprice", "file", "row"], ["flag", "qty", "disc"])
 
 
 @register("sorted_distinct_concat", "SELECT l_orderkey, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), '|' ORDER BY CAST(l_suppkey AS VARCHAR)) AS as_text, string_agg(CAST(s AS VARCHAR), '|' ORDER BY s) AS as_number FROM (SELECT DISTINCT l_orderkey, l_suppkey, l_suppkey AS s FROM lineitem) GROUP BY 1")
