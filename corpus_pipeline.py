@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import materialize, table
+from terrafold.llm.common import components, materialize, table
 from terrafold.llm.copies import near_copies
 from terrafold.llm.decontaminate import scan_benchmark
 from terrafold.llm.languages import UNIT, UNKNOWN, fit, held_out, identify
 from terrafold.llm.packing import pack
 from terrafold.llm.pii import find_pii
+from terrafold.llm.simhash import simhash_near_dedup
 
 #: A document's largest language has this share of it; one that falls short with 95 % confidence is rejected.
 LEAST_SHARE, CONFIDENCE = 0.5, 1.96
@@ -39,13 +40,19 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five-word similarity of 0.8 or more): the one with the least id.
+    """One row of each group of near copies: the one with the least id.
 
-    Null and blank texts are copies of one another; a null id comes after all others; of repeated rows one stays; an empty table gives none.
+    Texts link where their fingerprints differ in three bits or fewer (operator 10), and where their five-word similarity is 0.8 or
+    more, which three bits don't reach; a group is what links of either kind join. Null and blank texts are copies of one another; a
+    null id comes after all others; of repeated rows one stays; an empty table gives none.
     """
     keyed = by_row(docs)
-    gone = near_copies(keyed, id_col="_key").where("not kept").select(F.col("_key.row").alias("_row"))
-    gone = materialize(gone, "gone")  # fewer rows than stay, and no text: the texts needn't move to be parted from them
+    moved = [f(keyed, id_col="_key").where("not kept").select("_key", "component_id") for f in (simhash_near_dedup, near_copies)]
+    links = materialize(moved[0].union(moved[1]), "links")  # fewer rows than stay, and no text: the texts needn't move to be parted from them
+    groups = materialize(components(links.select(F.col("_key.row").alias("src"), F.col("component_id.row").alias("dst"))), "groups")
+    keys = links.select("_key").union(links.select("component_id")).distinct().join(groups, F.col("_key.row") == F.col("node"))
+    least = keys.groupBy("root").agg(F.min("_key").alias("least"))
+    gone = materialize(keys.join(least, "root").where("_key <> least").select(F.col("_key.row").alias("_row")), "gone")
     gone = gone.hint("broadcast" if gone.count() <= MOST_SENT else "merge")
     return keyed.join(gone, F.col("_key.row") == F.col("_row"), "left_anti").select(*docs.columns)
 
