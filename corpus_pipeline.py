@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import components, materialize, table
+from terrafold.llm.common import collect_garbage, components, materialize, table
 from terrafold.llm.copies import near_copies
 from terrafold.llm.decontaminate import scan_benchmark
 from terrafold.llm.languages import UNIT, UNKNOWN, fit, held_out, identify
@@ -21,12 +22,24 @@ LEAST_SHARE, CONFIDENCE = 0.5, 1.96
 MOST_SENT = 1_000_000
 
 
+def fresh(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage``, begun with the executors' garbage collected, so that it doesn't add its memory to what the stages before it took."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collect_garbage(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def by_row(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` written with a key of its own for each row, ``_key``, ordered as the ids are, null ids last."""
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
     return materialize(docs.withColumn("_key", key), "rows")
 
 
+@fresh
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with an identified language: text without letters goes, and a mixture that surely has no main language.
 
@@ -39,6 +52,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != UNKNOWN) & (upper >= LEAST_SHARE)).select(*docs.columns)
 
 
+@fresh
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the one with the least id.
 
@@ -47,7 +61,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     null id comes after all others; of repeated rows one stays; an empty table gives none.
     """
     keyed = by_row(docs)
-    moved = [f(keyed, id_col="_key").where("not kept").select("_key", "component_id") for f in (simhash_near_dedup, near_copies)]
+    moved = []
+    for f in (simhash_near_dedup, near_copies):
+        moved.append(f(keyed, id_col="_key").where("not kept").select("_key", "component_id"))
+        collect_garbage(spark)
     links = materialize(moved[0].union(moved[1]), "links")  # fewer rows than stay, and no text: the texts needn't move to be parted from them
     groups = materialize(components(links.select(F.col("_key.row").alias("src"), F.col("component_id.row").alias("dst"))), "groups")
     keys = links.select("_key").union(links.select("component_id")).distinct().join(groups, F.col("_key.row") == F.col("node"))
@@ -57,12 +74,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keyed.join(gone, F.col("_key.row") == F.col("_row"), "left_anti").select(*docs.columns)
 
 
+@fresh
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item, also of one without an id; null, blank and repeated rows stay."""
     marked = scan_benchmark(docs.select(F.struct(*docs.columns).alias("d"), "text"), table(spark, sf_dir, "benchmark"), id_col="d")
     return marked.where("size(hits) = 0").select("id.*")
 
 
+@fresh
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by its kind."""
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
@@ -71,6 +90,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*(new[c].alias(c) if c in new else F.col(f"d.`{c}`") for c in docs.columns))
 
 
+@fresh
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in the training sequences; a null or empty text is one piece, repeated rows a set each."""
     return pack(docs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from terrafold.operators.graph import components
-from terrafold.operators.tables import discard, materialize, table
+from terrafold.operators.tables import collect_garbage, discard, materialize, table
 
-__all__ = ["bounded_batches", "chunks", "components", "discard", "materialize", "spread", "table", "text_bytes", "texts", "union_roots"]
+__all__ = ["bounded_batches", "chunks", "collect_garbage", "components", "discard", "materialize", "spread", "table", "text_bytes", "texts", "union_roots"]
 
 #: Links to lower members that one member of a group has at most, in what :func:`spread` makes of the group.
 FAN = 32
@@ -34,7 +35,7 @@ def bounded_batches(df: DataFrame) -> None:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches into pieces with about ``most_bytes`` of text each, one row at least."""
+    """Cut batches into pieces with about ``most_bytes`` of text each, one row at least; after the last one :func:`give_back`."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -43,6 +44,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: in
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Return to the system what this process has freed: a Python worker serves many tasks and would keep the most that one of them took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
