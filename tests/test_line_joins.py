@@ -39,3 +39,13 @@ def test_a_long_piece_takes_the_cells_beside_it(spark):
     assert len(near) == len(want) and {(x.pt, x.id) for x in near} == want
     diagonal = spark.createDataFrame([(0, [(0.0, 0.0), (1000.0, 1000.0)])], LINE)
     assert diagonal.select(F.size(spatial.piece_cells(F.col("line")[0], F.col("line")[1], 10.0, 10.0)).alias("n")).first().n < 800  # its box has over 10,000
+
+
+def test_pieces_are_dealt_before_their_cells_are_made(spark):
+    lines = spark.createDataFrame(pieces(20, 5), LINE).coalesce(1)
+    points = spark.createDataFrame([(0, 0.0, 0.0)], "pt long, x double, y double")
+    near = spatial.points_near_pieces(points, lines, 10.0, "pt", "id")
+    both = spatial.pieces_near_pieces(lines.withColumnRenamed("id", "one"), lines.withColumnRenamed("id", "two"), 10.0, "one", "two", size=50.0)
+    for df, key in ((near, "RepartitionByExpression [_p"), (both, "RepartitionByExpression [_s")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert key in plan and plan.index(key) > plan.index("Generate explode")
