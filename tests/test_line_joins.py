@@ -49,3 +49,10 @@ def test_pieces_are_dealt_before_their_cells_are_made(spark):
     for df, key in ((near, "RepartitionByExpression [_p"), (both, "RepartitionByExpression [_s")):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert key in plan and plan.index(key) > plan.index("Generate explode")
+
+
+def test_pairs_of_single_pieces_are_not_summed_up(spark):
+    import __spark_entry__ as entry
+
+    df = entry.queries()["line_line_distance_all"](spark, "/root/testdata/sf0.001")
+    assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
