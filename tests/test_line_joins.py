@@ -56,3 +56,20 @@ def test_pairs_of_single_pieces_are_not_summed_up(spark):
 
     df = entry.queries()["line_line_distance_all"](spark, "/root/testdata/sf0.001")
     assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
+
+
+def test_dense_samples_begin_with_a_small_ring(spark, monkeypatch):
+    from terrafold.operators import reachability as rc
+
+    rings, near = [], spatial.points_near_pieces
+    monkeypatch.setattr(spatial, "points_near_pieces", lambda p, q, r, *a, **b: rings.append(r) or near(p, q, r, *a, **b))
+    rows = [(k % 2, k, line) for k, line in pieces(80, 6) if k < 77]
+    df = spark.createDataFrame(rows, "area int, line_id long, line array<struct<x:double,y:double>>")
+    got = {x.area: [round(e.d, 9) for e in x.exits] for x in rc.exit_candidates(df, df, F.array().cast("array<struct<x:double,y:double>>"), step=60.0, apart=50.0).collect()}
+    assert rings[0] < 60 and rings == sorted(rings) and rings[-1] <= 1500
+    pts = df.select("area", F.explode(geo.sample("line", 60.0)).alias("p"))
+    d = geo.point_piece(F.col("p"), F.col("q")[0], F.col("q")[1])
+    best = pts.join(df.select(F.col("area").alias("of"), F.col("line").alias("q")), F.expr("of <> area")).groupBy("area", "p").agg(F.min(d).alias("d"))
+    for area in (0, 1):
+        assert got[area][0] == round(best.where(f"area = {area}").agg(F.min("d")).first()[0], 9)
+        assert len(got[area]) == 3
